@@ -29,7 +29,8 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TOKEN = re.compile(r"[^\s\"'<>\[\]{},;|]*[0-9@][^\s\"'<>\[\]{},;|]*(?:[\x20-][0-9]+)*")
+#: From a token's first character only, and without giving characters back, so that long runs are read once.
+TOKEN = re.compile(r"(?<![^\s\"'<>\[\]{},;|])[^\s\"'<>\[\]{},;|0-9@]*+[0-9@][^\s\"'<>\[\]{},;|]*+(?:[\x20-][0-9]++)*+")
 
 
 def luhn(digits: str) -> bool:
