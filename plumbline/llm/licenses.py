@@ -122,3 +122,18 @@ def hitting_words(templates: list[list[str]], least: float) -> list[str]:
                 need.add(w)
                 left = {g for g in left if w not in g.split()}
     return sorted(need)
+
+
+def oracle(docs: str = "documents", templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST) -> str:
+    """DuckDB SQL of license_scan where doc_id is unique: every unit against every template, nothing pruned."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, grams))}])" for name, texts in templates.items() for grams in template_grams(texts) if grams)
+    pieces = lambda mark, n, test: f"SELECT doc_id, unit, coalesce(sum(length(unit) + {n}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, {test} AS ok FROM (SELECT doc_id, text, unnest(s) AS unit, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, text, string_split(text, {mark}) AS s FROM {docs} WHERE text IS NOT NULL))"
+    return f"""
+WITH t(license, grams) AS (VALUES {rows}),
+u AS ({pieces("chr(10)", 1, "true")} UNION ALL {pieces("chr(10) || chr(10)", 2, "contains(unit, chr(10)) AND length(unit) < length(text)")} UNION ALL SELECT doc_id, text, 0, true FROM {docs} WHERE contains(text, chr(10))),
+w AS (SELECT doc_id, start, length(unit) AS length, string_split(trim(regexp_replace(lower(unit), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM u WHERE ok),
+g AS (SELECT doc_id, start, length, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS g FROM w WHERE len(w) > 1),
+d AS (SELECT doc_id, license, start, length, 2 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM g, t),
+b AS (SELECT doc_id, license, arg_max({{'d': round(dice, 6), 's': start, 'l': length}}, {{'d': round(dice, 6), 's': -start, 'l': -length}}) AS b, count(DISTINCT {{'s': start, 'l': length}}) AS n_units FROM d WHERE dice >= {least} - 1e-9 GROUP BY doc_id, license)
+SELECT doc_id, license, b.d AS dice, n_units, b.s AS start, b.l AS length FROM b"""
