@@ -11,7 +11,7 @@ gradient and curvature over (source, size) counts with a distributed aggregation
 
 Rounding: documents of a source and size share a rate, so of n such documents floor(n r) or more copies are taken.
 Going from the largest size to the smallest, the copies of each size are rounded so that all words so far come nearest
-to their sum of rates; the last error is about half a small document. Which of the n documents get the additional copy
+to their sum of rates; the last error is about half a small document. A second pass evens out what a source of few documents leaves. Which of the n documents get the additional copy
 is settled by the order of a hash of the id, in buckets of a bounded size, so that a size or source that holds a large
 part of all rows is never sorted by one task, and reruns agree.
 """
@@ -78,10 +78,11 @@ def multipliers(sizes: DataFrame, goals: DataFrame, most: float = MOST, steps: i
 
 
 def copies(classes: Column, most: float) -> Column:
-    """classes: array<struct<size, n, r>>, largest size first. array<struct<size, n, r, copies>>.
+    """classes: array<struct<size, n, r>>, largest size first. Copies of each class, array<bigint>.
 
-    The copies of a size are the whole number, between floor(r) and ceil(r) for each document, that brings the words so
-    far nearest to their sum of rates.
+    First the copies of a size are the whole number, between floor(r) and ceil(r) for each document, that brings the words
+    so far nearest to their sum of rates. What is then missing or too much (a source of a few large documents) is evened
+    out in a second pass, which may take any number of copies from 0 to `most` for each document.
     """
     start = named(want=F.lit(0.0), got=F.lit(0).cast("long"), out=F.array().cast("array<bigint>"))
 
@@ -93,7 +94,18 @@ def copies(classes: Column, most: float) -> Column:
 
         return let(a["want"] + x["n"] * x["size"] * x["r"], put)
 
-    return F.aggregate(classes, start, step)["out"]
+    def even(done: Column) -> Column:
+        first = named(left=done["want"] - done["got"], out=F.array().cast("array<bigint>"))
+
+        def move(a: Column, z: Column) -> Column:
+            x, k = z["x"], z["k"]
+            more = F.when(x["size"] == 0, F.lit(0)).otherwise(F.round(a["left"] / x["size"]))
+            more = F.greatest(-k, F.least(most * x["n"] - k, more)).cast("long")
+            return let(more, lambda m: named(left=a["left"] - m * x["size"], out=F.concat(a["out"], F.array(k + m))))
+
+        return F.aggregate(F.zip_with(classes, done["out"], lambda x, k: named(x=x, k=k)), first, move)["out"]
+
+    return let(F.aggregate(classes, start, step), even)
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -113,7 +125,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     # One row a source: an array of its distinct sizes, which text lengths bound and documents don't.
     classes = rated.groupBy("source", "source_size", "target").agg(F.sort_array(F.collect_list(F.struct("size", "n", "r")), asc=False).alias("c"))
     counted = classes.withColumn("k", copies(F.col("c"), most)).select("source", "source_size", "target", F.explode(F.arrays_zip("c", "k")).alias("x")).select("source", "source_size", "target", "x.c.size", "x.c.n", F.col("x.c.r").alias("rate"), F.col("x.k").alias("k"))
-    counted = stored(counted.withColumn("base", F.floor("rate").cast("long")).withColumn("extra", F.col("k") - F.col("n") * F.col("base")), "mix-copies")
+    counted = stored(counted.withColumn("base", F.floor(F.col("k") / F.col("n")).cast("long")).withColumn("extra", F.col("k") - F.col("n") * F.col("base")), "mix-copies")
     # Buckets of a (source, size): the extra copies are dealt to them in proportion, by rounding running sums down.
     plan = counted.withColumnRenamed("source", "from").withColumnRenamed("size", "of").withColumn("buckets", F.ceil(F.col("n") / BUCKET).cast("long"))
     dealt = rows.join(plan, same & (F.col("size") == F.col("of"))).withColumn("bucket", F.pmod(F.xxhash64("order", "size"), F.col("buckets"))).drop("from", "of", "buckets")
