@@ -161,18 +161,19 @@ def _render(template: tuple[str, str, str]):
     return run
 
 
-def chat_format(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: tuple[str, str, str] = TEMPLATE) -> DataFrame:
+def chat_format(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: tuple[str, str, str] = TEMPLATE, partitions: int | None = None) -> DataFrame:
     """<id_col>, part, n_turns, n_out, cost, merged, relabelled, inserted, rendered.
 
     One row for each conversation (part 0), or for each part of one that spans partitions; its parts, in order, make up
-    the whole text. Turns are taken by (turn, role, text), nulls last; repeated rows are turns of their own and so are
+    the whole text. `partitions` fixes their number, else Spark
+    does. Turns are taken by (turn, role, text), nulls last; repeated rows are turns of their own and so are
     ties. Null or unknown roles are relabelled, null texts are empty. Null ids make one conversation. Empty input: no
     rows.
     """
     own = turns.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").alias("role"), F.col(f"`{text_col}`").alias("text"))
     key = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit(""))
     order = [F.col("key"), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last()]
-    ranged = own.withColumn("key", key).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = own.withColumn("key", key).repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
     cut = stored(ranged.withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()).drop("turn"), "turns")
     kind = own.schema["id"].dataType.simpleString()
     parts = cut.select("key", "part").distinct()

@@ -92,7 +92,7 @@ def test_mixing(spark, docs):
         rated[source[r["doc_id"]]] += r["rate"] * r["size"]
     for s in per:
         assert rated[s] == pytest.approx(want[s], rel=1e-6)
-        assert abs(taken[s] - want[s]) <= max(0.05 * want[s], 500)
+        assert abs(taken[s] - want[s]) <= max(0.02 * want[s], smallest[s])
     again = {r["doc_id"]: r["taken"] for r in mixing.mix(every.repartition(7)).collect()}
     assert again == {r["doc_id"]: r["taken"] for r in rows}
 
@@ -129,9 +129,8 @@ def test_near_fingerprints_share_a_key(x, bits):
     y = x
     for b in bits:
         y ^= 1 << b
-    a, _ = simhash.key_rows(np.array([x], np.uint64).view(np.int64))
-    b, _ = simhash.key_rows(np.array([y], np.uint64).view(np.int64))
-    assert set(a.tolist()) & set(b.tolist())
+    keys = lambda v: {k for late in (False, True) for k in simhash.key_rows(np.array([v], np.uint64).view(np.int64), late)[0].tolist()}
+    assert keys(x) & keys(y)
 
 
 def slow_fingerprint(text):
@@ -343,7 +342,7 @@ def test_chat_in_parts_is_chat_in_one(spark):
     rng = random.Random(9)
     rows = [(c, i, rng.choice(["user", "assistant", "user", "assistant", "system", "tool"]), f"c{c}t{i} <|x") for c in range(3) for i in range((400, 5, 1)[c])]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    many = chat_format.chat_format(d.repartition(16)).orderBy("conv_id", "part").collect()
+    many = chat_format.chat_format(d, partitions=16).orderBy("conv_id", "part").collect()
     for c in range(3):
         own = [(r, t) for cc, _, r, t in rows if cc == c]
         text, n = chat_format.render(own, chat_format.START, None, False, True, chat_format.TEMPLATE)
