@@ -56,7 +56,7 @@ def read_directory(spark: SparkSession, path: str, project: str | None = None, k
     raw = raw.where(F.col("length") <= fixed.MAX_BYTES[kind])
     root = path.removeprefix("file://").rstrip("/") + "/"
     rel = F.element_at(F.split("path", F.lit(r"\Q" + root + r"\E"), 2), -1)
-    own = raw.select(rel.alias("rel"), F.decode("content", F.lit("UTF-8")).alias("content"), F.col("length").alias("size_bytes"))
+    own = raw.select(rel.alias("rel"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size_bytes"))
     named = own.select(F.lit(project).alias(P), F.col("rel").alias("path"), "content", "size_bytes") if project else own.select(F.substring_index("rel", "/", 1).alias(P), F.regexp_replace("rel", "^[^/]*/", "").alias("path"), "content", "size_bytes")
     return named.where(eligible(kind))
 
@@ -73,7 +73,7 @@ def listing_page(repositories: DataFrame, page: int = 1, size: int = 30) -> Data
 
 def decoded(contents: DataFrame, column: str = "content") -> DataFrame:
     """Text of base64 file contents; line breaks in them are ignored."""
-    return contents.withColumn(column, F.decode(F.unbase64(F.regexp_replace(column, r"\s", "")), F.lit("UTF-8")))
+    return contents.withColumn(column, F.decode(F.unbase64(F.regexp_replace(column, r"\s", "")), "UTF-8"))
 
 
 def search_files(files: DataFrame, words: str, ext: str | None = None) -> DataFrame:
