@@ -3,16 +3,19 @@
 Fingerprint: 64 bits, each set if it is set in over half of the XXH64 hashes (seed 42) of the text's 4-word shingles.
 Two fingerprints that differ in at most four bits are linked; a component is what links reach.
 
-Candidates: a fingerprint is cut into segments A and B of 23 bits and R of 18 bits (three thirds of 6). Segments A and B
-are decoded to the Golay codewords near them (one or six keys), which two segments share if at most two of their bits
-differ. Where at most four of 64 bits differ, one of these compound keys is shared:
+Candidates: a fingerprint is cut into segments A and B of 23 bits and R of 18 bits. Segments A and B are decoded to the
+Golay codewords near them (one or six keys), which two segments share if at most two of their bits differ; halves and
+thirds of a segment are alike somewhere if at most one or two of its bits differ. Where at most four of 64 bits differ,
+one of these compound keys is shared:
 - R alike: A or B differs in two bits at most: (R, keys of A), (R, keys of B);
 - A alike (B likewise): B differs in two bits at most, (A, keys of B); or R differs in one at most, (A, a third of R);
-- all differ: A and B in two at most and R in two at most, so a third of R is alike: (keys of A, keys of B, a third).
-Equal fingerprints are one node from the start. Of a key's members, each is first verified against the least and the
-greatest one, which joins most groups by edges as many as rows. Then only members whose component isn't the largest one
-under their key are verified against all members of other components, so a large group is never paired with itself and
-no link between components is lost.
+- all differ, so A or B in one bit: if A does, then either B in one and R in two at most, (half of A, half of B, third of
+  R), or B in two and R in one, (half of A, keys of B, half of R); likewise with A and B exchanged.
+The first two cases are worked off first, then the third one with the components found so far. Equal fingerprints are one
+node from the start, and keys whose members are all in one component are dropped before anything is joined. Of a key's
+other members, each is first verified against the least and the greatest one, which joins most groups by edges as many as
+rows. Then only members whose component isn't the largest one under their key are verified against all members of other
+components, so a large group is never paired with itself and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -61,60 +64,82 @@ def _fingerprints(shingle: int):
     return run
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 4096):
-            fp = batch["fp"].to_numpy(zero_copy_only=False)[lo : lo + 4096]
-            out, own = key_rows(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(own)], ["key", "fp"])
+def _keys(late: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                keys, at = key_rows(part["fp"].to_numpy(zero_copy_only=False), late)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), part["value"].take(pa.array(at))], ["key", "value"])
+
+    return run
+
 
+def key_rows(fp: np.ndarray, late: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Compound keys (with the kind in the top bits) and the place of the fingerprint of each.
 
-def key_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All compound keys (with the kind in the top bits) and the fingerprint of each."""
+    late: those of the case that all segments differ, else those of the other cases.
+    """
     bits = fp.view(np.uint64)
     a, b, r = (((bits >> np.uint64(s)) & np.uint64((1 << n) - 1)).astype(np.int64) for s, n in ((0, 23), (23, 23), (46, 18)))
     ka, kb = golay.keys(a), golay.keys(b)
-    thirds = np.stack([(r >> s & 63) | (i << 6) for i, s in enumerate((0, 6, 12))], axis=1)
-    some: list[tuple[int, np.ndarray]] = [
-        (1, np.where(ka < 0, -1, r[:, None] << 12 | ka)),
-        (2, np.where(kb < 0, -1, r[:, None] << 12 | kb)),
-        (3, np.where(kb < 0, -1, a[:, None] << 12 | kb)),
-        (4, np.where(ka < 0, -1, b[:, None] << 12 | ka)),
-        (5, a[:, None] << 8 | thirds),
-        (6, b[:, None] << 8 | thirds),
-    ]
-    pair = np.where((ka < 0)[:, :, None] | (kb < 0)[:, None, :], -1, ka[:, :, None] << 12 | kb[:, None, :]).reshape(len(fp), -1)
-    some.append((7, np.where(pair[:, :, None] < 0, -1, pair[:, :, None] << 8 | thirds[:, None, :]).reshape(len(fp), -1)))
-    rows, own = [], []
+    cut = lambda x, width, n: np.stack([(x >> (i * width) & ((1 << width) - 1)) | i << 12 for i in range(n)], axis=1)  # noqa: E731  pieces with their numbers
+    thirds = cut(r, 6, 3)
+    if late:
+        ha, hb, hr = cut(a, 12, 2), cut(b, 12, 2), cut(r, 9, 2)
+        some = [(7, product(product(ha, hb, 14), thirds, 14)), (8, product(product(ha, kb, 12), hr, 14)), (9, product(product(hb, ka, 12), hr, 14))]
+    else:
+        some = [(1, product(r[:, None], ka, 12)), (2, product(r[:, None], kb, 12)), (3, product(a[:, None], kb, 12)), (4, product(b[:, None], ka, 12)), (5, product(a[:, None], thirds, 14)), (6, product(b[:, None], thirds, 14))]
+    rows, at = [], []
     for kind, keys in some:
-        at = np.nonzero(keys >= 0)
-        rows.append(keys[at] | kind << 40)
-        own.append(fp[at[0]])
-    return np.concatenate(rows), np.concatenate(own)
+        found = np.nonzero(keys >= 0)
+        rows.append(keys[found] | kind << 44)
+        at.append(found[0])
+    return np.concatenate(rows), np.concatenate(at)
+
+
+def product(x: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
+    """All pairs of a column of x and one of y, of `width` bits; -1 where either is missing."""
+    both = np.where((x < 0)[:, :, None] | (y < 0)[:, None, :], -1, x[:, :, None] << width | y[:, None, :])
+    return both.reshape(len(x), -1)
+
+
+def near(bits: int):
+    return F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= bits
 
 
 def linked(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """(fp, component) for the fingerprints of fps (fp, distinct) that have a link; component is a fingerprint."""
     if bits > BITS:
         raise ValueError("the keys find pairs of up to 4 differing bits")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= bits
-    keyed = fps.select("fp").mapInArrow(_keys, "key bigint, fp bigint")
-    ends = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    # Nearly all keys have one member: those of the others are few rows, written once and read by what follows.
-    member = stored(keyed.join(ends, "key"), "members")
-    stars = member.select("fp", F.explode(F.array("low", "high")).alias("other")).where("fp <> other").where(near).select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
-    stars = stored(stars, "stars")
-    first = stored(components(stars), "first-components")
-    named = member.select("key", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    mixed = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("several")).where("several > 1").select("key", "main")
-    rest = stored(named.join(mixed, "key"), "mixed")
+    fps = fps.select("fp")
+    label = None
+    for late in (False, True):
+        named = fps.withColumn("component", F.col("fp")) if label is None else fps.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+        keyed = lambda rows, value, late=late: rows.select("fp", F.col(value).alias("value")).mapInArrow(_keys(late), "key bigint, value bigint")
+        # Nearly all keys have one member, or members of one component: those of the others are few rows.
+        mixed = keyed(named, "component").groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high").select("key")
+        member = stored(keyed(fps, "fp").withColumnRenamed("value", "fp").join(mixed, "key"), "members")
+        after = stored(joined(member, label, bits), "components")
+        for x in (member, label):
+            if x is not None:
+                dropped(x)
+        label = after
+    return label
+
+
+def joined(member: DataFrame, label: DataFrame | None, bits: int) -> DataFrame:
+    """Components (fp, component) after the links between members (key, fp) of a key are added to those of label."""
+    edges = lambda x: x.select(F.col("fp").alias("a"), F.col("component").alias("b"))
+    ends = member.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
+    stars = member.join(ends, "key").select("fp", F.explode(F.array("low", "high")).alias("other")).where("fp <> other").where(near(bits)).select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
+    first = stored(components(stars if label is None else stars.unionAll(edges(label))).withColumnRenamed("node", "fp"), "first-components")
+    named = member.join(first, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    main = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("several")).where("several > 1").select("key", "main")
+    rest = stored(named.join(main, "key"), "mixed")
     minor = rest.where("component <> main").select("key", F.col("fp").alias("other"), F.col("component").alias("with"))
-    more = rest.join(minor, "key").where("component <> with").where(near).select(F.col("component").alias("a"), F.col("with").alias("b")).distinct()
-    last = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
-    out = stored(last, "components")
-    for x in (member, stars, first, rest):
-        dropped(x)
-    return out.withColumnRenamed("node", "fp")
+    more = rest.join(minor, "key").where("component <> with").where(near(bits)).select(F.col("component").alias("a"), F.col("with").alias("b")).distinct()
+    return components(edges(first).unionAll(more)).withColumnRenamed("node", "fp")
 
 
 def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
