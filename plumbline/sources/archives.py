@@ -183,7 +183,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def source_files(archived: DataFrame) -> DataFrame:
     """(project, path, content, size_bytes): an archive is a project."""
-    return archived.where("type = 'file'").select(F.col("archive").alias("project"), F.col("name").alias("path"), F.decode("data", "UTF-8").alias("content"), F.col("size").alias("size_bytes"))
+    return archived.where("type = 'file'").select(F.col("archive").alias("project"), F.col("name").alias("path"), F.make_valid_utf8(F.col("data").cast("string")).alias("content"), F.col("size").alias("size_bytes"))
 
 
 def zip_tree(folder: str | Path, target: str | Path) -> int:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from plumbline.functions import fixed
 from plumbline.functions.paths import basename, extension, stem
@@ -46,17 +50,70 @@ def require_valid(files: DataFrame, kind: str = "advanced") -> DataFrame:
     return files
 
 
+class _Files(InputPartition):
+    def __init__(self, root: str, names: list[str]):
+        self.root, self.names = root, names
+
+
+class _TreeReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.root, self.kind = options["path"].removeprefix("file://"), options.get("kind", "advanced")
+
+    def partitions(self) -> list[_Files]:
+        """Groups of files of about 16 MB; ignored directories are not entered, files of other kinds not listed."""
+        wanted = None if self.kind == "security" else tuple("." + e for e in fixed.EXTENSIONS[self.kind])
+        groups, held, size = [], [], 0
+        for folder, below, names in os.walk(self.root):
+            below[:] = sorted(d for d in below if d not in fixed.IGNORED[self.kind])
+            for name in sorted(names):
+                path = os.path.join(folder, name)
+                n = os.path.getsize(path) if os.path.isfile(path) else -1
+                if n < 0 or n > fixed.MAX_BYTES[self.kind] or (wanted and not name.endswith(wanted)):
+                    continue
+                held.append(os.path.relpath(path, self.root))
+                size += n
+                if size >= 16 << 20 or len(held) >= 2000:
+                    groups.append(_Files(self.root, held))
+                    held, size = [], 0
+        return [*groups, _Files(self.root, held)]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for name in partition.names:
+            with open(os.path.join(partition.root, name), "rb") as f:
+                data = f.read()
+            yield name, data, len(data)
+
+
+class TreeSource(DataSource):
+    """Files of a directory tree that every executor sees, names that begin with . or _ included (Spark's own file
+    sources skip those)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tree"
+
+    def schema(self) -> str:
+        return "rel string, content binary, length long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _TreeReader(self.options)
+
+
 def read_directory(spark: SparkSession, path: str, project: str | None = None, kind: str = "advanced") -> DataFrame:
     """(project, path, content, size_bytes) of a directory tree. Files are filtered by name and size before they are read.
 
-    The project is `project`, or the first directory below path.
+    The project is `project`, or the first directory below path. A path with another scheme than file:// is read by
+    Spark's binaryFile source, which doesn't see names that begin with . or _.
     """
-    glob = "*" if kind == "security" else "*.{" + ",".join(fixed.EXTENSIONS[kind]) + "}"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    raw = raw.where(F.col("length") <= fixed.MAX_BYTES[kind])
-    root = path.removeprefix("file://").rstrip("/") + "/"
-    rel = F.element_at(F.split("path", F.lit(r"\Q" + root + r"\E"), 2), -1)
-    own = raw.select(rel.alias("rel"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size_bytes"))
+    if "://" not in path or path.startswith("file://"):
+        spark.dataSource.register(TreeSource)
+        raw = spark.read.format("tree").option("kind", kind).load(path)
+    else:
+        glob = "*" if kind == "security" else "*.{" + ",".join(fixed.EXTENSIONS[kind]) + "}"
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+        root = path.rstrip("/") + "/"
+        raw = raw.where(F.col("length") <= fixed.MAX_BYTES[kind]).withColumn("rel", F.element_at(F.split("path", r"\Q" + root + r"\E", 2), -1))
+    own = raw.select("rel", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.col("length").alias("size_bytes"))
     named = own.select(F.lit(project).alias(P), F.col("rel").alias("path"), "content", "size_bytes") if project else own.select(F.substring_index("rel", "/", 1).alias(P), F.regexp_replace("rel", "^[^/]*/", "").alias("path"), "content", "size_bytes")
     return named.where(eligible(kind))
 
@@ -73,7 +130,7 @@ def listing_page(repositories: DataFrame, page: int = 1, size: int = 30) -> Data
 
 def decoded(contents: DataFrame, column: str = "content") -> DataFrame:
     """Text of base64 file contents; line breaks in them are ignored."""
-    return contents.withColumn(column, F.decode(F.unbase64(F.regexp_replace(column, r"\s", "")), "UTF-8"))
+    return contents.withColumn(column, F.make_valid_utf8(F.unbase64(F.regexp_replace(column, r"\s", "")).cast("string")))
 
 
 def search_files(files: DataFrame, words: str, ext: str | None = None) -> DataFrame:

@@ -135,6 +135,12 @@ def test_directory_source(spark, tmp_path):
     assert {(r["project"], r["path"]) for r in got.collect()} == {("p", "src/index.js"), ("q", ".hidden/a.js"), ("q", "a.py")}
     scan = sources.read_directory(spark, str(tmp_path), kind="security")
     assert {(r["project"], r["path"]) for r in scan.collect()} == {("p", "src/index.js"), ("p", ".env"), ("p", "readme.md"), ("q", "a.py")}
+    (tmp_path / "p/bad.js").write_bytes(b"a\xff\xfeb")
+    (tmp_path / "q/__init__.py").write_text("")
+    more = {(r["project"], r["path"]): r["content"] for r in sources.read_directory(spark, str(tmp_path)).collect()}
+    assert more["p", "bad.js"].startswith("a") and more["q", "__init__.py"] == ""
+    text = spark.createDataFrame([("aGVs\nbG8=",)], "content string")
+    assert sources.decoded(text).first()["content"] == "hello"
     with pytest.raises(ValueError, match="No files"):
         sources.require_valid(got.limit(0))
 
