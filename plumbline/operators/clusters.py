@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from plumbline.functions import fixed
 from plumbline.functions.metrics import distance
 from plumbline.functions.paths import basename, dirname, holds
+from plumbline.operators.common import ship
 
 P = "project"
 
@@ -134,6 +135,7 @@ def type_clusters(files: DataFrame, edges: DataFrame, limit: int = 12) -> DataFr
 
     ordinal is null where the type is one cluster. Only types that need it go through the sequential kernel.
     """
+    ship(files.sparkSession)
     counts = files.groupBy(P, "type").agg(F.count(F.lit(1)).alias("n"))
     named = files.select(P, "type", "path").join(counts, [P, "type"])
     order = W.partitionBy(P, "type").orderBy("path")

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.common import ship
+
 P = "project"
 SCHEMA = "project string, algo string, community long, node string"
 SWEEPS = 50
@@ -158,6 +160,7 @@ def _run(algos: list[str]):
 
 def communities(metrics: DataFrame, edges: DataFrame, algos: tuple[str, ...] = ("louvain", "spectral", "greedy")) -> DataFrame:
     """(project, algo, community, node). metrics: (project, node, cyclomatic, cognitive, halstead, mi, nesting)."""
+    ship(metrics.sparkSession)
     targets = edges.groupBy(P, F.col("src").alias("node")).agg(F.collect_set("dst").alias("targets"))
     rows = metrics.select(P, "node", *METRICS).join(targets, [P, "node"], "left")
     return rows.groupBy(P).applyInPandas(_run(list(algos)), SCHEMA)

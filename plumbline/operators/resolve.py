@@ -85,31 +85,39 @@ def node_cluster(nodes: DataFrame, membership: DataFrame) -> DataFrame:
     return nodes.join(first, [P, "node"], "left")
 
 
+def pieces(text: str) -> Column:
+    """Distinct substrings of one to three characters: whatever a text contains begins with one of them."""
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(3)))
+    return F.array_distinct(F.flatten(F.transform(at, lambda x: F.array(x, F.substr(x, F.lit(1), F.lit(2)), F.substr(x, F.lit(1), F.lit(1))))))
+
+
+def containing(texts: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
+    """texts joined with words of the same project that they contain, by an equi-join on a word's first characters."""
+    cut = texts.withColumn("gram", F.explode(pieces(text)))
+    return words.withColumn("gram", F.substring(word, 1, 3)).join(cut, [P, "gram"]).where(F.col(text).contains(F.col(word))).drop("gram")
+
+
 def file_cluster_by_name(files: DataFrame, cluster_files: DataFrame) -> DataFrame:
     """(project, path, cluster): first cluster with a file that equals the path or contains its basename, else Unclustered.
 
-    cluster_files: (project, ordinal, cluster, file). "Contains" can only hold where the basename begins somewhere in the
-    file, so both sides meet on the basename's first characters at that place: an equi-join instead of a nested loop.
+    cluster_files: (project, ordinal, cluster, file). A file that equals the path contains its basename.
     """
-    name = F.col("name")
-    f = files.select(P, "path").distinct().withColumn("name", basename("path")).withColumn("gram", F.substring("name", 1, 3))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("file"), F.lit(1))), lambda i: F.substr(F.col("file"), i, F.lit(3))))
-    c = cluster_files.select(P, "ordinal", "cluster", "file", F.explode(grams).alias("whole")).select(P, "ordinal", "cluster", "file", F.explode(F.array_distinct(F.array(F.col("whole"), F.substring("whole", 1, 2), F.substring("whole", 1, 1)))).alias("gram")).distinct()
-    hit = f.join(c, [P, "gram"]).where(F.col("file").contains(name) | (F.col("file") == F.col("path")))
+    f = files.select(P, "path").distinct().withColumn("name", basename("path"))
+    hit = containing(cluster_files.select(P, "ordinal", "cluster", "file"), "file", f, "name")
     best = hit.groupBy(P, "path").agg(F.min_by("cluster", "ordinal").alias("cluster"))
-    return files.select(P, "path").distinct().join(best, [P, "path"], "left").withColumn("cluster", F.coalesce("cluster", F.lit("Unclustered")))
+    return f.select(P, "path").join(best, [P, "path"], "left").withColumn("cluster", F.coalesce("cluster", F.lit("Unclustered")))
 
 
 def links(deps: DataFrame, nodes: DataFrame) -> DataFrame:
     """(project, src, dep, target): the first node (by ordinal) that equals the dependency or whose path contains it.
 
-    deps: (project, src, dep); nodes: (project, ordinal, node). One side of the containment is small and sent whole only
-    if Spark's own size check allows; distinct spellings are matched once.
+    deps: (project, src, dep); nodes: (project, ordinal, node). Distinct spellings are matched once.
     """
-    each = deps.select(P, "dep").distinct()
-    n = nodes.select(P, "ordinal", F.col("node").alias("target"))
-    hit = each.join(n, P).where(F.col("target").contains(F.col("dep"))).groupBy(P, "dep").agg(F.min_by("target", "ordinal").alias("target"))
-    return deps.join(hit, [P, "dep"]).select(P, "src", "dep", "target")
+    n, each = nodes.select(P, "ordinal", F.col("node").alias("target")), deps.select(P, "dep").distinct()
+    hit = containing(n, "target", each.where("dep <> ''"), "dep").groupBy(P, "dep").agg(F.min_by("target", "ordinal").alias("target"))
+    # Every path contains the empty spelling.
+    blank = each.where("dep = ''").join(n.groupBy(P).agg(F.min_by("target", "ordinal").alias("target")), P)
+    return deps.join(hit.unionByName(blank), [P, "dep"]).select(P, "src", "dep", "target")
 
 
 def first_of_each(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from plumbline.functions.fixed import ARCHIVE_LIMITS
+from plumbline.operators.common import ship
 
 SCHEMA = "archive string, name string, type string, size long, data binary"
 Entry = tuple[str, str, int, bytes | None]
@@ -163,11 +164,13 @@ class ArchiveSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(ArchiveSource)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Archives from any store Spark reads, one archive at a time in each task."""
+    ship(spark)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), F.col("content").alias("bytes"))
 
     def run(batches):

@@ -11,6 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from plumbline.functions import fixed
 from plumbline.functions.paths import basename, extension, stem
+from plumbline.operators.common import ship
 
 P = "project"
 
@@ -106,6 +107,7 @@ def read_directory(spark: SparkSession, path: str, project: str | None = None, k
     Spark's binaryFile source, which doesn't see names that begin with . or _.
     """
     if "://" not in path or path.startswith("file://"):
+        ship(spark)
         spark.dataSource.register(TreeSource)
         raw = spark.read.format("tree").option("kind", kind).load(path)
     else:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from plumbline.operators.common import ship
 from plumbline.operators.tenancy import BILLING
 
 
@@ -33,5 +34,6 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 def billing_stream(events: DataFrame) -> DataFrame:
     """(customer_id, status, tier) after each batch for the customers it touched; order of arrival doesn't matter."""
+    ship(events.sparkSession)
     known = events.where(F.col("event_type").isin(BILLING))
     return known.groupBy("customer_id").applyInPandasWithState(_fold, "customer_id long, status string, tier string", "us long, seq long, status string, tier string", "update", GroupStateTimeout.NoTimeout)
