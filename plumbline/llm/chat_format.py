@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import stored
+from plumbline.operators.common import ship
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = (None, "system", "user", "assistant")
@@ -170,6 +171,7 @@ def chat_format(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "t
     ties. Null or unknown roles are relabelled, null texts are empty. Null ids make one conversation. Empty input: no
     rows.
     """
+    ship(turns.sparkSession)
     own = turns.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").alias("role"), F.col(f"`{text_col}`").alias("text"))
     key = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit(""))
     order = [F.col("key"), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last()]

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import stored
+from plumbline.operators.common import ship
 
 NGRAM, COMMON, TIMES, LEAST, BLOCK = 3, 50, 4, 0.5, 400_000
 MATCH, MISS, GAP_COST = 2, -1, -1
@@ -199,6 +200,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     benchmark: no rows.
     """
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    ship(docs.sparkSession)
     spark, kind = docs.sparkSession, own.schema["id"].dataType.simpleString()
     results = []
     for items in blocks_of(benchmark, item_col, item_text_col, block):

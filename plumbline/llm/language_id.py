@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.llm.common import agreed
+from plumbline.operators.common import ship
 
 WORD = re.compile(r"[^\W\d_]+")
 SAMPLE, WORDS, GRAMS, LONGEST = 1500, 20_000, 6_000, 4
@@ -102,6 +103,7 @@ class Model:
 
 def learned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> Model:
     """Model of the rows that are not held out and have an id, a text and a language."""
+    ship(docs.sparkSession)
     own = agreed(docs, id=id_col, text=text_col, lang=lang_col).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
     # One row for each language: documents to learn from. What is collected grows with languages, not with documents.
     n_of = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -122,6 +124,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     Null text or no letter: `und` with score 0; so is everything if nothing was learned. A text whose letters are all
     unknown gets the first language with an even score. Repeated rows stay; empty docs: no rows.
     """
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import stored
+from plumbline.operators.common import ship
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, PRIOR, SUPPORT, TRUST = 3, 2.0, 5, 0.7
@@ -155,6 +156,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     spans holds base spans and discovered ones (n_found of them) by kind, then start, as kind:start:end in code points.
     Null and empty texts: none. Null ids and repeated rows stay rows of their own. Empty docs: no rows.
     """
+    ship(docs.sparkSession)
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     scanned = own.mapInArrow(_scan, f"id {kind}, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, found {SPANS}")
