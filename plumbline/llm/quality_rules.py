@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.llm.common import agreed, count_of, let, named, stored, words_of
+from plumbline.llm.common import agreed, count_of, let, named, row_key, stored, words_of
 
 #: feature: cutoffs, the most lenient first.
 GRID: dict[str, list[float]] = {
@@ -54,9 +54,9 @@ def repeated_words(words: Column) -> Column:
     return let(words, counted)
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", whole_rows: bool = False) -> DataFrame:
-    """Counts of every whole text; no shuffle. A null text counts as empty. whole_rows: each row as a struct, too."""
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{stratum_col}`").alias("stratum"), *([F.struct("*").alias("row")] if whole_rows else []))
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", keyed: bool = False) -> DataFrame:
+    """Counts of every whole text; no shuffle. A null text counts as empty. keyed: with a key of the row."""
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{stratum_col}`").alias("stratum"), *([row_key(id_col, text_col, stratum_col).alias("key")] if keyed else []))
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = F.struct(
         F.size(words_of(F.col("text"))).cast("long").alias("n_words"),
@@ -67,7 +67,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
         count_of(F.col("text"), r"[^A-Z]+").alias("n_upper"),
         count_of(F.col("text"), r"[^!]+").alias("n_bang"),
     )
-    row = ["row"] if whole_rows else []
+    row = ["key"] if keyed else []
     c = own.select("doc_id", "stratum", *row, counts.alias("c"))
     return c.select("doc_id", "stratum", *row, "c.n_words", "c.word_chars", "c.n_symbols", F.col("c.lines.dup").alias("n_dup_lines"), "c.n_repeat_words", F.col("c.lines.n").alias("n_lines"), "c.n_upper", "c.n_bang")
 
@@ -137,8 +137,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 def kept_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", good_col: str = "quality", grid: dict[str, list[float]] = GRID, risk: float = RISK, delta: float = DELTA, cost: float = COST) -> DataFrame:
     """The rows of docs that quality_rules keeps, with their own columns only.
 
-    Rows and counts are written once, side by side, so that no join has to bring them together.
+    Only counts are written; rows that are alike in id, text and stratum have one key and one verdict.
     """
-    counted = stored(features(docs, id_col, text_col, stratum_col, whole_rows=True), "quality")
-    chosen = stored(cutoffs(counted.drop("row"), labels, good_col=good_col, grid=grid, risk=risk, delta=delta, cost=cost), "quality-cutoffs")
-    return decided(counted, chosen, grid).where("kept").select("row.*")
+    counted = stored(features(docs, id_col, text_col, stratum_col, keyed=True), "quality")
+    chosen = stored(cutoffs(counted, labels, good_col=good_col, grid=grid, risk=risk, delta=delta, cost=cost), "quality-cutoffs")
+    kept = decided(counted, chosen, grid).where("kept").select(F.col("key").alias("__key")).distinct()
+    return docs.withColumn("__key", row_key(id_col, text_col, stratum_col)).join(kept, "__key", "left_semi").drop("__key")
