@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import golay
 from plumbline.llm.common import dropped, stored
 from plumbline.llm.components import components
+from plumbline.operators.common import ship
 
 SHINGLE, BITS = 4, 4
 
@@ -109,37 +110,47 @@ def near(bits: int):
 
 
 def linked(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """(fp, component) for the fingerprints of fps (fp, distinct) that have a link; component is a fingerprint."""
+    """(fp, component) for the fingerprints of fps (fp, distinct); component is the least fingerprint reachable."""
     if bits > BITS:
         raise ValueError("the keys find pairs of up to 4 differing bits")
-    fps = fps.select("fp")
-    label = None
+    ship(fps.sparkSession)
+    label = fps.select("fp", F.col("fp").alias("component"))
     for late in (False, True):
-        named = fps.withColumn("component", F.col("fp")) if label is None else fps.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-        keyed = lambda rows, value, late=late: rows.select("fp", F.col(value).alias("value")).mapInArrow(_keys(late), "key bigint, value bigint")
+        keyed = lambda value, late=late, label=label: label.select("fp", F.col(value).alias("value")).mapInArrow(_keys(late), "key bigint, value bigint")
         # Nearly all keys have one member, or members of one component: those of the others are few rows.
-        mixed = keyed(named, "component").groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high").select("key")
-        member = stored(keyed(fps, "fp").withColumnRenamed("value", "fp").join(mixed, "key"), "members")
-        after = stored(joined(member, label, bits), "components")
-        for x in (member, label):
-            if x is not None:
-                dropped(x)
-        label = after
+        mixed = keyed("component").groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high").select("key")
+        members = keyed("fp").withColumnRenamed("value", "fp").join(mixed, "key").join(label, "fp")
+        member = stored(members.select("key", "fp", "component"), "members")
+        for edges in (star_edges, cross_edges):
+            found = stored(edges(member, bits), "component-edges")
+            if not found.isEmpty():
+                roots = stored(components(found), "component-roots")
+                member, label = renamed(member, roots), renamed(label, roots)
+            dropped(found)
+        label = stored(label, "components")
+        dropped(member)
     return label
 
 
-def joined(member: DataFrame, label: DataFrame | None, bits: int) -> DataFrame:
-    """Components (fp, component) after the links between members (key, fp) of a key are added to those of label."""
-    edges = lambda x: x.select(F.col("fp").alias("a"), F.col("component").alias("b"))
-    ends = member.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
-    stars = member.join(ends, "key").select("fp", F.explode(F.array("low", "high")).alias("other")).where("fp <> other").where(near(bits)).select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
-    first = stored(components(stars if label is None else stars.unionAll(edges(label))).withColumnRenamed("node", "fp"), "first-components")
-    named = member.join(first, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    main = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("several")).where("several > 1").select("key", "main")
-    rest = stored(named.join(main, "key"), "mixed")
+def renamed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with the root of their component, where it has one."""
+    own = roots.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return rows.join(own, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
+
+
+def star_edges(member: DataFrame, bits: int) -> DataFrame:
+    """(a, b): components of members of a key and of its least or greatest member that are near them."""
+    ends = member.groupBy("key").agg(F.min(F.struct("fp", "component")).alias("low"), F.max(F.struct("fp", "component")).alias("high"))
+    each = member.join(ends, "key").select("fp", "component", F.explode(F.array("low", "high")).alias("end")).select("fp", "component", F.col("end.fp").alias("other"), F.col("end.component").alias("with"))
+    return each.where("component <> with").where(near(bits)).select(F.col("component").alias("a"), F.col("with").alias("b")).distinct()
+
+
+def cross_edges(member: DataFrame, bits: int) -> DataFrame:
+    """(a, b): near members of a key in unlike components, one of them outside the key's largest component."""
+    main = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("several")).where("several > 1").select("key", "main")
+    rest = member.join(main, "key")
     minor = rest.where("component <> main").select("key", F.col("fp").alias("other"), F.col("component").alias("with"))
-    more = rest.join(minor, "key").where("component <> with").where(near(bits)).select(F.col("component").alias("a"), F.col("with").alias("b")).distinct()
-    return components(edges(first).unionAll(more)).withColumnRenamed("node", "fp")
+    return member.join(minor, "key").where("component <> with").where(near(bits)).select(F.col("component").alias("a"), F.col("with").alias("b")).distinct()
 
 
 def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
@@ -148,11 +159,12 @@ def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Null and empty texts have fingerprint zero and are linked like others. Null ids take part; a component of null ids
     only has a null component_id. Repeated rows stay. Empty docs: no rows.
     """
+    ship(docs.sparkSession)
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     prints = stored(own.mapInArrow(_fingerprints(shingle), f"id {kind}, fp bigint"), "fingerprints")
     fps = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    groups = fps.join(linked(fps, bits), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    groups = fps.join(linked(fps, bits), "fp")
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
     named = groups.join(least, "component").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
