@@ -49,7 +49,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     own = docs.select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     chunks = own.where(F.col("text").contains("\n")).select("key", "id", F.explode(F.filter(chunks_of(F.col("text"), divisor), lambda c: (c["n"] >= 2) & c["text"].rlike(r"\S"))).alias("c"))
     places = stored(chunks.select("key", "id", "c.k", F.xxhash64("c.text").alias("digest")), "line-places")
-    twice = places.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest")
+    # Written first: a join below an aggregation of its own side could not split the rows of a frequent digest.
+    twice = stored(places.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest"), "line-repeats")
     flagged = places.join(twice, "digest").groupBy("key").agg(F.collect_set(F.struct("k", "digest")).alias("flags"))
     seen = own.where(F.col("text").contains("\n")).join(flagged, "key").select("key", "id", F.explode("flags").alias("f"), chunks_of(F.col("text"), divisor).alias("c"))
     texts = stored(seen.select("key", "id", "f.k", "f.digest", F.get("c", F.col("f.k"))["text"].alias("chunk")), "line-candidates")
