@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.common import row_key, stored
+from plumbline.operators.common import ship
 
 LEAST_WORDS = 8
 MARKS = {"line": "\n", "paragraph": "\n\n"}
@@ -75,12 +76,15 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text: null, nothing removed. Null ids rank first. Rows with the same id and text are one occurrence. Columns named
     removed or clean_text, or starting with "__", are left out. Empty docs: no rows.
     """
+    ship(docs.sparkSession)
     whole = docs.drop("removed", "clean_text", *[c for c in docs.columns if c.startswith("__")])
     own = docs.select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     kind = own.schema["id"].dataType.simpleString()
     places = stored(own.mapInArrow(_unit_rows(unit, least_words), f"key bigint, id {kind}, start bigint, end bigint, digest binary"), "units")
     first = places.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "key", "start")).alias("first")).where("copies > 1")
-    gone = places.join(first.select("digest", "first"), "digest").where((F.col("first.key") != F.col("key")) | (F.col("first.start") != F.col("start")))
+    # Written first: a join below an aggregation of its own side could not split the rows of a frequent digest.
+    first = stored(first.select("digest", "first"), "unit-repeats")
+    gone = places.join(first, "digest").where((F.col("first.key") != F.col("key")) | (F.col("first.start") != F.col("start")))
     removed = gone.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed")).withColumnRenamed("key", "__key")
     joined = whole.withColumn("__key", row_key(id_col, text_col)).join(removed, "__key", "left").drop("__key")
     full = joined.withColumn("removed", F.coalesce("removed", F.array().cast(SPANS)))
