@@ -220,10 +220,10 @@ def sanitize_path(spark, d):
     return n.select("page_id", paths.safe_path("raw").alias("safe"), paths.safe_directory("raw").alias("dir"))
 
 
-@query("WITH n AS (SELECT o_orderkey, (o_totalprice * (o_orderkey % 7) * (o_orderkey % 5) * (o_orderkey % 3))::BIGINT AS b FROM orders), v AS (SELECT *, CASE WHEN b < 1024 THEN b::DOUBLE WHEN b < 1048576 THEN b / 1024 WHEN b < 1073741824 THEN b / 1048576 ELSE b / 1073741824 END AS v, CASE WHEN b < 1024 THEN ' Bytes' WHEN b < 1048576 THEN ' KB' WHEN b < 1073741824 THEN ' MB' ELSE ' GB' END AS u FROM n) SELECT o_orderkey, regexp_replace(regexp_replace((floor(v * 100 + 0.5) / 100)::DECIMAL(20,2)::VARCHAR, '0+$', ''), '\\.$', '') || u AS size FROM v WHERE b > 0 UNION ALL SELECT o_orderkey, '0 Bytes' FROM v WHERE b = 0")
+@query("WITH n AS (SELECT o_orderkey, floor(o_totalprice * (o_orderkey % 7) * (o_orderkey % 5) * (o_orderkey % 3))::BIGINT AS b FROM orders), v AS (SELECT *, CASE WHEN b < 1024 THEN b::DOUBLE WHEN b < 1048576 THEN b / 1024 WHEN b < 1073741824 THEN b / 1048576 ELSE b / 1073741824 END AS v, CASE WHEN b < 1024 THEN ' Bytes' WHEN b < 1048576 THEN ' KB' WHEN b < 1073741824 THEN ' MB' ELSE ' GB' END AS u FROM n) SELECT o_orderkey, regexp_replace(regexp_replace((floor(v * 100 + 0.5) / 100)::DECIMAL(20,2)::VARCHAR, '0+$', ''), '\\.$', '') || u AS size FROM v WHERE b > 0 UNION ALL SELECT o_orderkey, '0 Bytes' FROM v WHERE b = 0")
 def format_size(spark, d):
     k = F.col("o_orderkey")
-    n = corpus.table(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * (k % 7) * (k % 5) * (k % 3)).cast("long").alias("b"))
+    n = corpus.table(spark, d, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") * (k % 7) * (k % 5) * (k % 3)).cast("long").alias("b"))
     return n.select("o_orderkey", paths.file_size("b").alias("size"))
 
 
