@@ -7,14 +7,24 @@ two lines or more. A boundary depends on three lines only: lines put in or taken
 Chunks of two lines or more that hold a word are removed wherever they aren't the first (by doc_id, then place) with the
 same bytes. Only 64-bit digests of all chunks are shuffled; texts follow just for digests that occur twice, and are
 compared as bytes. What remains of a text is its other chunks, joined by newlines.
+
+A chunk that holds a foreign line matches nothing, so short shared passages mostly stay. passage_dedup takes every two
+successive lines that hold a word (with the blank lines between them) as a unit besides the chunks: each passage of two
+such lines or more that an earlier place has goes as a whole, wherever it begins. The first place of a line never goes.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import let, named, row_key, stored
+from plumbline.operators.common import ship
 
 DIVISOR = 2
 
@@ -71,6 +81,75 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return out.select(*columns, F.col("__parts.n").alias("n_chunks"), F.col("__parts.gone").alias("removed_chunks"), F.col("__parts.lines").alias("removed_lines"))
 
 
+def passages_of(text: str, divisor: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first line, last line, 128-bit digest) of each unit: pairs of successive lines that hold a word, and chunks."""
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    digests = [hashlib.md5(x).digest() for x in lines]
+    worded = [i for i, x in enumerate(lines) if x.strip()]
+    units = set(zip(worded, worded[1:]))
+    h = [int.from_bytes(d[:4], "big") >> 4 for d in digests]
+    start, before, held = 0, False, 0
+    for i in range(len(lines)):
+        marked = i > 0 and (31 * h[i - 1] + h[i]) % divisor == 0
+        held += bool(lines[i].strip())
+        if i == len(lines) - 1 or marked and not before:
+            if i > start and held:
+                units.add((start, i))
+            start, held = i + 1, 0
+        before = marked
+    for a, b in sorted(units):
+        yield a, b, hashlib.md5(b"".join(digests[a : b + 1])).digest()
+
+
+def _passages(divisor: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                found = [(i, *u) for i, text in enumerate(part["text"].to_pylist()) for u in passages_of(text, divisor)]
+                rows, first, last, digests = zip(*found, strict=True) if found else ((), (), (), ())
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part["key"].take(at), part["id"].take(at), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(digests, pa.binary())], ["key", "id", "a", "b", "digest"])
+
+    return run
+
+
+def _without(text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                texts, counts = [], []
+                for text, ranges in zip(part[text_col].to_pylist(), part["__gone"].to_pylist(), strict=True):
+                    gone = {i for x in ranges or () for i in range(x["a"], x["b"] + 1)}
+                    texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text)
+                    counts.append(len(gone))
+                names = part.schema.names[:-1]
+                yield pa.RecordBatch.from_arrays([*[pa.array(texts, pa.string()) if c == text_col else part[c] for c in names], pa.array(counts, pa.int64())], [*names, "removed_lines"])
+
+    return run
+
+
+def passage_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR) -> DataFrame:
+    """docs with its text cleaned of repeated passages and chunks, and removed_lines (long).
+
+    Nulls, ids and repeated rows as with line_dedup; columns named removed_lines or starting with "__" are replaced.
+    """
+    ship(docs.sparkSession)
+    whole = docs.drop("removed_lines", *[c for c in docs.columns if c.startswith("__")])
+    own = docs.select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").contains("\n"))
+    kind = own.schema["id"].dataType.simpleString()
+    places = stored(own.mapInArrow(_passages(divisor), f"key bigint, id {kind}, a int, b int, digest binary"), "passage-places")
+    first = places.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "key", "a")).alias("first")).where("copies > 1")
+    # Written first, as in line_dedup.
+    first = stored(first.select("digest", "first"), "passage-repeats")
+    gone = places.join(first, "digest").where((F.col("first.key") != F.col("key")) | (F.col("first.a") != F.col("a")))
+    removed = gone.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("__gone")).withColumnRenamed("key", "__key")
+    joined = whole.withColumn("__key", row_key(id_col, text_col)).join(removed, "__key", "left").drop("__key")
+    schema = T.StructType([*whole.schema.fields, T.StructField("removed_lines", T.LongType())])
+    return joined.mapInArrow(_without(text_col), schema)
+
+
 def oracle(docs: str = "documents", divisor: int = DIVISOR) -> str:
     """DuckDB SQL for doc_id, text and the counts, where doc_id is unique."""
     return f"""

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from plumbline.llm import chat_format, components, decontamination, golay, language_id, licenses, line_dedup, mixing, pii, quality_rules, simhash, substring_dedup
 from plumbline.llm import queries as llm
 from tests.compare import SF, assert_same
@@ -114,6 +115,21 @@ def test_line_dedup_shift(spark):
     assert {"x", "y", "z"} <= set(r[2]["text"].split("\n"))
 
 
+def test_pipeline_lines_take_short_passages(spark):
+    """Passages of two to five lines between foreign lines go whole, and the first place of every line stays."""
+    rng = random.Random(5)
+    shared = [[f"shared {k} {i} {rng.random()}" for i in range(2 + k % 4)] for k in range(40)]
+    rows = [(d * 100 + k, "\n".join([f"own {d} {k} {rng.random()}", *p, "", f"end {d} {k} {rng.random()}"]), "en", "s", 0) for d in (1, 2) for k, p in enumerate(shared)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r["text"].split("\n") for r in corpus_pipeline.lines(spark, d, SF).collect()}
+    for k, p in enumerate(shared):
+        assert got[100 + k] == rows[k][1].split("\n")
+        assert [x for x in got[200 + k] if x] == [x for x in rows[40 + k][1].split("\n") if x and x not in p]
+    # What the chunks of op3 lose is lost here as well.
+    chunks = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.line_dedup(d).collect()}
+    assert all(set(got[i]) <= set(x) for i, x in chunks.items())
+
+
 def test_golay_keys():
     rng = np.random.default_rng(0)
     assert {int((row >= 0).sum()) for row in golay.patterns()} == {1, 6}
