@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, lower case. Every n-gram of a document that some test item has is a seed; the seeds
-of an item that lie near each other in a document make a passage. An item's rare seeds are those in at most `common`
-documents, or in at most `times` as many documents as its rarest one (so that an item with many copies in the corpus
-still has rare seeds). Passages with a rare seed and two seeds or more are aligned to the item word by word; the score is
-the best local alignment's (match 2, other pairs and gaps -1) as a share of the item's alignment to itself.
+of an item that lie near each other in a document make a passage. Passages with two seeds or more are aligned to the item
+word by word, however many documents have the seeds; the score is the best local alignment's (match 2, other pairs and
+gaps -1) as a share of the item's alignment to itself. Only passages whose words can't reach the least score, whatever
+their order, are left out.
 
 The benchmark is worked off in blocks of `block` words, whose seeds are sent to the executors; documents are read once
-for each block. Nothing that grows with the documents leaves the executors but one count for each seed of the block.
+for each block. Nothing that grows with the documents leaves the executors.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import stored
 from plumbline.operators.common import ship
 
-NGRAM, COMMON, TIMES, LEAST, BLOCK = 3, 50, 4, 0.5, 400_000
+NGRAM, LEAST, BLOCK = 3, 0.5, 400_000
 MATCH, MISS, GAP_COST = 2, -1, -1
 WORD = re.compile(r"[^\W_]+")
 
@@ -66,11 +66,13 @@ class Seeds:
         self.n = n
         self.vocabulary: dict[str, int] = {}
         self.items: list[np.ndarray] = []
+        self.bags: list[tuple[np.ndarray, np.ndarray]] = []
         self.ids = [i for i, _ in items]
         codes, owners = [], []
         for at, (_, text) in enumerate(items):
             own = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)], np.int64)
             self.items.append(own)
+            self.bags.append(np.unique(own, return_counts=True))
             for k in range(len(own) - n + 1):
                 codes.append(tuple(own[k : k + n].tolist()))
                 owners.append(at)
@@ -114,8 +116,8 @@ class Seeds:
             at, run = at[good], place[good]
         return at, self.gram_at[run]
 
-    def passages(self, words: list[str]) -> tuple[list[int], list[tuple[int, int, int, list[int]]]]:
-        """All seeds of a text; and (item, from, to, seeds) of its passages with two seeds or all of the item's."""
+    def passages(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """(item, from, to) of the passages of a text with two seeds or all of the item's."""
         places, seeds = self.hits(words)
         by_item: dict[int, list[tuple[int, int]]] = {}
         for p, s in zip(places.tolist(), seeds.tolist(), strict=True):
@@ -127,53 +129,42 @@ class Seeds:
             run: list[tuple[int, int]] = []
             for x in [*found, (1 << 60, -1)]:
                 if run and x[0] - run[-1][0] > reach:
-                    own = {s for _, s in run}
-                    if len(own) >= min(2, len(self.of[item])):
-                        out.append((item, max(0, run[0][0] - reach), min(len(words), run[-1][0] + self.n + reach), sorted(own)))
+                    if len({s for _, s in run}) >= min(2, len(self.of[item])):
+                        out.append((item, max(0, run[0][0] - reach), min(len(words), run[-1][0] + self.n + reach)))
                     run = []
                 run.append(x)
-        return sorted(set(seeds.tolist())), out
-
-
-def _search(sent):
-    passage = pa.struct([("item", pa.int32()), ("start", pa.int64()), ("seeds", pa.list_(pa.int32())), ("words", pa.list_(pa.int32()))])
-
+        return out
+
+    def shared(self, passage: np.ndarray, item: int) -> int:
+        """Words of an item that a passage has, in any order: the alignment can't match more."""
+        words, counts = self.bags[item]
+        at = np.minimum(np.searchsorted(words, passage), len(words) - 1)
+        return int(np.minimum(np.bincount(at[words[at] == passage], minlength=len(words)), counts).sum())
+
+    def found(self, text: str | None, least: float) -> list[tuple[int, float, int, int]]:
+        """(item id, score, start, end): the best alignment of each item that a text holds."""
+        words = words_of(text)
+        best: dict[int, tuple[float, int, int]] = {}
+        for at, a, b in self.passages(words):
+            item, passage = self.items[at], np.array([self.vocabulary.get(w, -1) for w in words[a:b]], np.int64)
+            if self.shared(passage, at) < least * len(item):
+                continue
+            score, start, end = alignment(passage, item)
+            if score >= least * MATCH * len(item):
+                one = (round(score / (MATCH * len(item)), 6), -(a + start), a + end)
+                best[self.ids[at]] = max(one, best.get(self.ids[at], one))
+        return [(i, score, -first, end) for i, (score, first, end) in best.items()]
+
+
+def _search(sent, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                at, seeds, found = [], [], []
-                for i, text in enumerate(part["text"].to_pylist()):
-                    words = words_of(text)
-                    grams, some = own.passages(words)
-                    if grams:
-                        at.append(i)
-                        seeds.append(grams)
-                        found.append([{"item": k, "start": a, "seeds": s, "words": [own.vocabulary.get(w, -1) for w in words[a:b]]} for k, a, b, s in some])
-                yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(at, pa.int64())), pa.array(seeds, pa.list_(pa.int32())), pa.array(found, pa.list_(passage))], ["id", "seeds", "found"])
-
-    return run
-
-
-def _align(sent, rare, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, wanted = sent.value, rare.value
-        for batch in batches:
-            at, items, scores, starts, ends = [], [], [], [], []
-            for i, found in enumerate(batch["found"].to_pylist()):
-                for x in found:
-                    if wanted[x["item"]].isdisjoint(x["seeds"]):
-                        continue
-                    item = own.items[x["item"]]
-                    score, a, b = alignment(np.array(x["words"], np.int64), item)
-                    if score >= least * MATCH * len(item):
-                        at.append(i)
-                        items.append(own.ids[x["item"]])
-                        scores.append(round(score / (MATCH * len(item)), 6))
-                        starts.append(x["start"] + a)
-                        ends.append(x["start"] + b)
-            yield pa.RecordBatch.from_arrays([batch["row"].take(pa.array(at, pa.int64())), batch["id"].take(pa.array(at, pa.int64())), pa.array(items, pa.int64()), pa.array(scores, pa.float64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["row", "id", "item", "score", "start", "end"])
+                rows = [(i, *x) for i, text in enumerate(part["text"].to_pylist()) for x in own.found(text, least)]
+                at, items, scores, starts, ends = zip(*rows, strict=True) if rows else ((),) * 5
+                yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(at, pa.int64())), pa.array(items, pa.int64()), pa.array(scores, pa.float64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["id", "item", "score", "start", "end"])
 
     return run
 
@@ -192,7 +183,7 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block: int) ->
         yield held
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ngram: int = NGRAM, common: int = COMMON, times: int = TIMES, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ngram: int = NGRAM, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """(<id_col>, item_id, score, start, end): documents that hold an item, its best alignment and the words it covers.
 
     Null and empty texts hold nothing, nor do items with fewer words than an n-gram match anything. Repeated items with
@@ -204,16 +195,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     spark, kind = docs.sparkSession, own.schema["id"].dataType.simpleString()
     results = []
     for items in blocks_of(benchmark, item_col, item_text_col, block):
-        seeds = Seeds(items, ngram)
-        sent = spark.sparkContext.broadcast(seeds)
-        searched = own.mapInArrow(_search(sent), f"id {kind}, seeds array<int>, found array<struct<item:int,start:bigint,seeds:array<int>,words:array<int>>>")
-        hits = stored(searched.withColumn("row", F.monotonically_increasing_id()), "seeds")
-        counts = {r["seed"]: r["n"] for r in hits.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n")).collect()}
-        least_of = [min((counts.get(g, 0) for g in of if counts.get(g, 0)), default=0) for of in seeds.of]
-        rare = [{g for g in of if 0 < counts.get(g, 0) <= max(common, times * low)} for of, low in zip(seeds.of, least_of, strict=True)]
-        aligned = hits.where(F.size("found") > 0).select("row", "id", "found").mapInArrow(_align(sent, spark.sparkContext.broadcast(rare), least), f"row bigint, id {kind}, item_id bigint, score double, start bigint, end bigint".replace("item_id", "item"))
-        best = aligned.groupBy("row", "id", "item").agg(F.max(F.struct("score", (-F.col("start")).alias("first"), "end")).alias("b"))
-        results.append(stored(best.select(F.col("id").alias(id_col), F.col("item").alias("item_id"), "b.score", (-F.col("b.first")).alias("start"), "b.end"), "leaks"))
+        sent = spark.sparkContext.broadcast(Seeds(items, ngram))
+        searched = own.mapInArrow(_search(sent, least), f"id {kind}, item bigint, score double, start bigint, end bigint")
+        results.append(stored(searched.select(F.col("id").alias(id_col), F.col("item").alias("item_id"), "score", "start", "end"), "leaks"))
     if not results:
         return own.where(F.lit(False)).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
     out = results[0]

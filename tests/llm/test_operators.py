@@ -325,6 +325,15 @@ def test_decontamination(spark, docs):
     assert blocks == got
 
 
+def test_decontamination_of_a_hot_group(spark):
+    """One exact copy of an item doesn't hide the many copies that have a word changed."""
+    item = [f"word{i}" for i in range(20)]
+    edited = " ".join([*item[:10], "other", *item[11:]])
+    docs = spark.createDataFrame([(0, " ".join(item), None, None, 0), *[(i, edited, None, None, 0) for i in range(1, 301)]], DOCS)
+    got = {r["doc_id"]: r["score"] for r in decontamination.decontaminate(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {0: 1.0, **{i: round(37 / 40, 6) for i in range(1, 301)}}
+
+
 def legal(roles):
     return re.fullmatch(r"(s?(ua)+)?", "".join(roles)) is not None
 
