@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.llm.common import stored
 from plumbline.operators.common import ship
@@ -62,12 +63,15 @@ def alignment(passage: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
 class Seeds:
     """The n-grams of a block of items, by word numbers."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int):
+    def __init__(self, items: list[tuple[object, str]], n: int):
         self.n = n
         self.vocabulary: dict[str, int] = {}
         self.items: list[np.ndarray] = []
         self.bags: list[tuple[np.ndarray, np.ndarray]] = []
         self.ids = [i for i, _ in items]
+        # Items are numbered by place; those without an id are items of their own.
+        places: dict = {}
+        self.first = [at if i is None else places.setdefault(i, at) for at, i in enumerate(self.ids)]
         codes, owners = [], []
         for at, (_, text) in enumerate(items):
             own = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)], np.int64)
@@ -142,7 +146,7 @@ class Seeds:
         return int(np.minimum(np.bincount(at[words[at] == passage], minlength=len(words)), counts).sum())
 
     def found(self, text: str | None, least: float) -> list[tuple[int, float, int, int]]:
-        """(item id, score, start, end): the best alignment of each item that a text holds."""
+        """(item, score, start, end): the best alignment of each item that a text holds; texts with one id are one item."""
         words = words_of(text)
         best: dict[int, tuple[float, int, int]] = {}
         for at, a, b in self.passages(words):
@@ -152,11 +156,11 @@ class Seeds:
             score, start, end = alignment(passage, item)
             if score >= least * MATCH * len(item):
                 one = (round(score / (MATCH * len(item)), 6), -(a + start), a + end)
-                best[self.ids[at]] = max(one, best.get(self.ids[at], one))
+                best[self.first[at]] = max(one, best.get(self.first[at], one))
         return [(i, score, -first, end) for i, (score, first, end) in best.items()]
 
 
-def _search(sent, least: float):
+def _search(sent, least: float, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
@@ -164,14 +168,14 @@ def _search(sent, least: float):
                 part = batch.slice(lo, 500)
                 rows = [(i, *x) for i, text in enumerate(part["text"].to_pylist()) for x in own.found(text, least)]
                 at, items, scores, starts, ends = zip(*rows, strict=True) if rows else ((),) * 5
-                yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(at, pa.int64())), pa.array(items, pa.int64()), pa.array(scores, pa.float64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["id", "item", "score", "start", "end"])
+                yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(at, pa.int64())), pa.array([own.ids[x] for x in items], item_type), pa.array(scores, pa.float64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["id", "item", "score", "start", "end"])
 
     return run
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block: int) -> Iterator[list[tuple[int, str]]]:
-    """Items with an id and a text, by id, in lists of about `block` words; one partition of them is held at a time."""
-    own = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null").distinct().orderBy("id", "text")
+def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block: int) -> Iterator[list[tuple[object, str]]]:
+    """Items with a text, by id, in lists of about `block` words; one partition of them is held at a time."""
+    own = benchmark.select(F.col(f"`{item_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null").distinct().orderBy("id", "text")
     held, n = [], 0
     for row in own.toLocalIterator():
         held.append((row["id"], row["text"]))
@@ -187,19 +191,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """(<id_col>, item_id, score, start, end): documents that hold an item, its best alignment and the words it covers.
 
     Null and empty texts hold nothing, nor do items with fewer words than an n-gram match anything. Repeated items with
-    one id count once, by their best score. Null ids stay null; repeated rows give repeated results. Empty docs or
+    one id count once, by their best score; item_id has any type, and items without one are searched too, each text as
+    an item of its own. Null ids stay null; repeated rows give repeated results. Empty docs or
     benchmark: no rows.
     """
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     ship(docs.sparkSession)
     spark, kind = docs.sparkSession, own.schema["id"].dataType.simpleString()
+    item_type = benchmark.select(F.col(f"`{item_col}`").alias("id")).schema["id"].dataType
     results = []
     for items in blocks_of(benchmark, item_col, item_text_col, block):
         sent = spark.sparkContext.broadcast(Seeds(items, ngram))
-        searched = own.mapInArrow(_search(sent, least), f"id {kind}, item bigint, score double, start bigint, end bigint")
+        searched = own.mapInArrow(_search(sent, least, to_arrow_type(item_type)), f"id {kind}, item {item_type.simpleString()}, score double, start bigint, end bigint")
         results.append(stored(searched.select(F.col("id").alias(id_col), F.col("item").alias("item_id"), "score", "start", "end"), "leaks"))
     if not results:
-        return own.where(F.lit(False)).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
+        return own.where(F.lit(False)).select(F.col("id").alias(id_col), F.lit(None).cast(item_type).alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
     out = results[0]
     for x in results[1:]:
         out = out.unionAll(x)

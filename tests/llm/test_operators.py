@@ -334,6 +334,14 @@ def test_decontamination_of_a_hot_group(spark):
     assert got == {0: 1.0, **{i: round(37 / 40, 6) for i in range(1, 301)}}
 
 
+def test_decontamination_by_any_item_id(spark):
+    """Items without an id, or with one that isn't a number, are searched as well."""
+    items = [("a-1", "the first item has these seven words"), (None, "another item without any id at all"), (None, "yet one more item that lacks its id")]
+    docs = spark.createDataFrame([(k, f"before {t} after", None, None, 0) for k, (_, t) in enumerate(items)], DOCS)
+    got = decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id string, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["score"]) for r in got.collect()) == [(0, "a-1", 1.0), (1, None, 1.0), (2, None, 1.0)]
+
+
 def legal(roles):
     return re.fullmatch(r"(s?(ua)+)?", "".join(roles)) is not None
 
