@@ -184,6 +184,32 @@ def test_simhash(spark, docs):
     assert {r["doc_id"]: r["component_id"] for r in rows} == slow_components(prints)
 
 
+def test_pipeline_near_duplicates(spark):
+    """Short texts with a word or two changed go if their 5-word shingles are alike by 0.8 or more, and stay else."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(50, 140))]
+        for edits in (0, 1, 2, 4):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = sorted({find(i) for i in range(len(texts))})
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert 60 < len(want) < 200
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, d, SF).collect()) == want
+
+
 def test_linked_on_chains(spark):
     """Fingerprints in long chains and dense balls, where stars alone don't join what links do."""
     rng = random.Random(5)
