@@ -37,10 +37,13 @@ def ship(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: lineage ends in files that every executor can read.
 
-    The folder is spark.checkpoint.dir of the session; a temporary one is set only where it is unset.
+    The folder is spark.checkpoint.dir of the session; where it is unset, a local session gets a temporary one.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="plumbline-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="plumbline-"))
     return df.checkpoint(eager=True)

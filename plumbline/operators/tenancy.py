@@ -51,9 +51,10 @@ def upsert(saved: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def enrich(remote: DataFrame, saved: DataFrame) -> DataFrame:
-    """remote with is_saved and last_analyzed."""
-    s = saved.select("repo", F.col("last_analyzed"), F.lit(True).alias("__s")).dropDuplicates(["repo"])
-    return remote.join(s, "repo", "left").withColumn("is_saved", F.col("__s").isNotNull()).drop("__s")
+    """remote with is_saved and last_analyzed (the latest), by user and repo; by repo only where a side has no users."""
+    key = ["user", "repo"] if "user" in remote.columns and "user" in saved.columns else ["repo"]
+    s = saved.groupBy(*key).agg(F.max("last_analyzed").alias("last_analyzed")).withColumn("__s", F.lit(True))
+    return remote.join(s, key, "left").withColumn("is_saved", F.col("__s").isNotNull()).drop("__s")
 
 
 def count_analyses(repositories: DataFrame, runs: DataFrame) -> DataFrame:
@@ -76,15 +77,20 @@ def tier_of_price(price: Column) -> Column:
 
 
 def billing_state(events: DataFrame) -> DataFrame:
-    """(customer_id, status, tier, end_date): from each customer's latest event by (ts, seq).
+    """(customer_id, status, tier, end_date): the state that each customer's events leave, in the order of (ts, seq).
 
-    events: (customer_id, event_type, status, price_id, period_end, ts, seq); a failed payment is past due whatever the
-    status says and leaves the tier of the event. Latest-wins is one aggregation with map-side combine, no window.
+    events: (customer_id, event_type, status, price_id, period_end, ts, seq). A failed payment sets the status to past due
+    and nothing else; all others set status, tier and end date from their subscription. A succeeded invoice without a
+    subscription (neither status nor price) is ignored. A customer without any subscription event is free, without an
+    end date. Latest-wins is one aggregation with map-side combine, no window.
     """
-    known = events.where(F.col("event_type").isin(BILLING))
-    last = known.groupBy("customer_id").agg(F.max(F.struct("ts", "seq", "event_type", "status", "price_id", "period_end")).alias("e"))
+    failed = F.col("event_type") == "invoice.payment_failed"
+    bare = (F.col("event_type") == "invoice.payment_succeeded") & F.col("status").isNull() & F.col("price_id").isNull()
+    known = events.where(F.col("event_type").isin(BILLING) & ~bare)
+    at = F.struct("ts", "seq", "event_type", "status", "price_id", "period_end")
+    last = known.groupBy("customer_id").agg(F.max(at).alias("e"), F.max(F.when(~failed, at)).alias("s"))
     status = F.when(F.col("e.event_type") == "invoice.payment_failed", "past_due").otherwise(subscription_status(F.col("e.status")))
-    return last.select("customer_id", status.alias("status"), tier_of_price(F.col("e.price_id")).alias("tier"), F.timestamp_seconds("e.period_end").alias("end_date"))
+    return last.select("customer_id", status.alias("status"), tier_of_price(F.col("s.price_id")).alias("tier"), F.timestamp_seconds("s.period_end").alias("end_date"))
 
 
 def get_or_create_customers(users: DataFrame, customers: DataFrame) -> DataFrame:

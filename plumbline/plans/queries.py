@@ -757,7 +757,12 @@ def count_analyses(spark, d):
     return x.select("repo", "analysis_count", F.date_format("last_analyzed", "yyyy-MM-dd HH:mm").alias("last_analyzed"))
 
 
-@query("""WITH l AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id AS customer_id, CASE event_type WHEN 'error' THEN 'past_due' WHEN 'view' THEN 'canceled' WHEN 'click' THEN CASE WHEN event_id % 4 = 0 THEN 'inactive' ELSE 'active' END ELSE 'active' END AS status, CASE event_id % 3 WHEN 0 THEN 'pro' WHEN 1 THEN 'team' ELSE 'free' END AS tier, 1700000000 + event_id * 60 AS end_epoch FROM l WHERE k = 1""")
+@query("""WITH l AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events),
+s AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type <> 'error')
+SELECT l.user_id AS customer_id,
+       CASE event_type WHEN 'error' THEN 'past_due' WHEN 'view' THEN 'canceled' WHEN 'click' THEN CASE WHEN l.event_id % 4 = 0 THEN 'inactive' ELSE 'active' END ELSE 'active' END AS status,
+       CASE s.event_id % 3 WHEN 0 THEN 'pro' WHEN 1 THEN 'team' ELSE 'free' END AS tier, 1700000000 + s.event_id * 60 AS end_epoch
+FROM l LEFT JOIN s ON l.user_id = s.user_id AND s.k = 1 WHERE l.k = 1""")
 def billing_fold(spark, d):
     return tenancy.billing_state(corpus.billing_log(spark, d)).select("customer_id", "status", "tier", F.unix_timestamp("end_date").alias("end_epoch"))
 

@@ -1,7 +1,9 @@
 """Archives as a source and a sink.
 
 `spark.read.format("archive").load(dir)` gives (archive, name, type, size, data): each archive is read by one task, entry
-by entry, with limits on their number and sizes.
+by entry, with limits on their number and sizes. `archive` is its path below dir, so archives of one name in two
+folders stay apart. One that is broken, too large or of an unknown kind gives a row of type "error", whose name says why,
+and those entries that were read before; the others are read all the same.
 """
 
 from __future__ import annotations
@@ -97,7 +99,12 @@ def salvage_zip(data: bytes, limits: dict[str, int]) -> Iterator[Entry]:
         if raw.endswith("/"):
             yield name, "directory", 0, None
         else:
-            yield name, "file", plain, body if method == 0 else zlib.decompressobj(-15).decompress(body, limits["entry_bytes"])
+            out = body if method == 0 else zlib.decompressobj(-15).decompress(body, limits["entry_bytes"] + 1)
+            # The header may declare less than comes out.
+            guard.size(raw, max(len(out), plain) - plain)
+            if len(out) > limits["entry_bytes"]:
+                raise ArchiveError(f"File too large in archive: {raw}")
+            yield name, "file", max(len(out), plain), out
         at = data.find(b"PK\x03\x04", start + packed)
 
 
@@ -113,14 +120,28 @@ def read_tar(data: bytes, mode: str, limits: dict[str, int]) -> Iterator[Entry]:
             yield safe_name(info.name), "file", info.size, t.extractfile(info).read()
 
 
+def readable(data: bytes) -> bool:
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)):
+            return True
+    except zipfile.BadZipFile:
+        return False
+
+
+def rows_of(archive: str, data: bytes) -> Iterator[tuple]:
+    """(archive, name, type, size, data) of each entry, and of the error that ends the reading, if any."""
+    try:
+        for e in entries(archive, data):
+            yield (archive, *e)
+    except (ArchiveError, zipfile.BadZipFile, tarfile.TarError, zlib.error, EOFError, OSError) as e:
+        yield archive, str(e), "error", 0, None
+
+
 def entries(name: str, data: bytes, limits: dict[str, int] = ARCHIVE_LIMITS) -> Iterator[Entry]:
     kind = kind_of(name)
     if kind == "zip":
-        try:
-            got = list(read_zip(data, limits))
-        except zipfile.BadZipFile:
-            got = list(salvage_zip(data, limits))
-        yield from got
+        # The directory is read before the first entry; without one, nothing has been given out yet.
+        yield from read_zip(data, limits) if readable(data) else salvage_zip(data, limits)
     elif kind in ("tar", "tar.gz"):
         try:
             yield from read_tar(data, "r|gz" if kind == "tar.gz" else "r|", limits)
@@ -145,8 +166,8 @@ class _Reader(DataSourceReader):
         return [_Part(str(p)) for p in found]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        for e in entries(partition.path, Path(partition.path).read_bytes()):
-            yield (Path(partition.path).name, *e)
+        path, root = Path(partition.path), Path(self.path)
+        yield from rows_of(path.name if path == root else str(path.relative_to(root)), path.read_bytes())
 
 
 class ArchiveSource(DataSource):
@@ -171,17 +192,19 @@ def register(spark: SparkSession) -> None:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Archives from any store Spark reads, one archive at a time in each task."""
     ship(spark)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), F.col("content").alias("bytes"))
+    whole = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = whole.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(whole).toString()
+    below = F.when(F.startswith("path", F.lit(root + "/")), F.substring("path", len(root) + 2, 1 << 30)).otherwise(F.element_at(F.split("path", "/"), -1))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(below.alias("archive"), F.col("content").alias("bytes"))
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             for name, data in zip(pdf["archive"], pdf["bytes"], strict=True):
-                rows = [(name, *e) for e in entries(name, bytes(data))]
-                yield pd.DataFrame(rows, columns=["archive", "name", "type", "size", "data"])
+                yield pd.DataFrame(list(rows_of(name, bytes(data))), columns=["archive", "name", "type", "size", "data"])
 
-    return raw.repartition(F.col("archive")).mapInPandas(run, SCHEMA)
+    return raw.mapInPandas(run, SCHEMA)
 
 
 def source_files(archived: DataFrame) -> DataFrame:

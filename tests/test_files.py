@@ -111,6 +111,32 @@ def test_archives(spark, tmp_path):
     assert result["dependencies"].select("src", "dst").collect() == [("src/index.js", "src/x.js")]
 
 
+def test_archives_of_one_name_and_broken_ones(spark, tmp_path):
+    for folder, text in (("one", b"a"), ("two", b"b")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "src.zip").write_bytes(zip_of([("x.py", text)]))
+    (tmp_path / "bad.7z").write_bytes(b"7z")
+    (tmp_path / "bad.tar").write_bytes(b"no tar at all" * 100)
+    archives.register(spark)
+    for got in (spark.read.format("archive").load(str(tmp_path)), archives.read_archives(spark, str(tmp_path))):
+        rows = {(r["archive"], r["type"]): r for r in got.collect()}
+        assert set(rows) == {("one/src.zip", "file"), ("two/src.zip", "file"), ("bad.7z", "error"), ("bad.tar", "error")}
+        assert "not supported" in rows["bad.7z", "error"]["name"]
+        assert {(r["project"], r["content"]) for r in archives.source_files(got).collect()} == {("one/src.zip", "a"), ("two/src.zip", "b")}
+
+
+def test_salvage_counts_what_comes_out():
+    """Entries whose headers declare no bytes still count by the bytes they give."""
+    data = bytearray(zip_of([(f"{i}.txt", b"x" * (9 << 20)) for i in range(12)]))
+    at = data.find(b"PK\x03\x04")
+    while at >= 0:
+        data[at + 22 : at + 26] = bytes(4)
+        at = data.find(b"PK\x03\x04", at + 4)
+    with pytest.raises(archives.ArchiveError, match="Archive too large"):
+        for _ in archives.salvage_zip(bytes(data), archives.ARCHIVE_LIMITS):
+            pass
+
+
 def test_archive_limits():
     small = {"entries": 2, "entry_bytes": 10, "total_bytes": 15}
     for data in ([("a", "x" * 11)], [("a", "x" * 9), ("b", "y" * 9)], [(str(i), "") for i in range(3)]):
