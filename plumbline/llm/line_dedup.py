@@ -6,46 +6,93 @@ two lines or more. A boundary depends on three lines only: lines put in or taken
 
 Chunks of two lines or more that hold a word are removed wherever they aren't the first (by doc_id, then place) with the
 same bytes. Only 64-bit digests of all chunks are shuffled; texts follow just for digests that occur twice, and are
-compared as bytes. What remains of a text is its other chunks, joined by newlines.
+grouped by their bytes. What remains of a text is its other chunks, joined by newlines.
 
 A chunk that holds a foreign line matches nothing, so short shared passages mostly stay. passage_dedup takes every two
 successive lines that hold a word (with the blank lines between them) as a unit besides the chunks: each passage of two
 such lines or more that an earlier place has goes as a whole, wherever it begins. The first place of a line never goes.
+
+No step groups or joins the rows of one digest in one task: digests and chunks are counted with partial aggregates, the
+repeated ones are found with with_repeats, and what goes is all places but the first ones, an anti-join by place.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from plumbline.llm.common import let, named, row_key, stored
-from plumbline.operators.common import ship
+from plumbline.llm.common import let, marked, marks, named, row_key, stored, with_repeats
 
 DIVISOR = 2
+WORDED = r"[^\x20\x09-\x0D]"
+BLANK = r"[\x20\x09\x0B-\x0D]*+"
+#: A text of two lines that hold a word, and blank lines between; nothing is given back, so it is read once.
+PAIR = rf"\A{BLANK}[^\x20\x09-\x0D][^\n]*+\n(?:{BLANK}\n)*+{BLANK}[^\x20\x09-\x0D][^\n]*+\z"
+
+
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
+
+def chunk_ends(lines: Column, divisor: int) -> Column:
+    """Places of the last lines of all chunks."""
+    last = F.size(lines) - 1
+    hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long"))
+
+    def ends(h: Column) -> Column:
+        at = lambda i: (i > 0) & ((F.get(h, i - 1) * 31 + F.get(h, i)) % divisor == 0)
+        return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (at(i) & ~at(i - 1)))
+
+    return let(hashes, ends)
 
 
-def chunks_of(text: Column, divisor: int) -> Column:
-    """array<struct<k, n, text>>: place, number of lines and text of each chunk. A null text has none."""
-    def cut(lines: Column) -> Column:
-        last = F.size(lines) - 1
-        hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long"))
+def spanned(lines: Column, a: Column, b: Column) -> Column:
+    """Lines a to b, taken one by one: slice() would copy the whole array each time."""
+    return named(a=a, b=b, text=F.array_join(F.transform(F.sequence(a, b), lambda i: F.get(lines, i)), "\n"))
 
-        def ends(h: Column) -> Column:
-            marked = lambda i: (i > 0) & ((F.get(h, i - 1) * 31 + F.get(h, i)) % divisor == 0)
-            return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (marked(i) & ~marked(i - 1)))
 
-        def chunk(e: Column) -> Column:
-            first = lambda k: F.coalesce(F.get(e, k - 1), F.lit(-1)) + 1
-            return F.transform(e, lambda x, k: named(k=k, n=x - first(k) + 1, text=F.array_join(F.slice(lines, first(k) + 1, x - first(k) + 1), "\n")))
+def chunks_of(lines: Column, divisor: int) -> Column:
+    """array<struct<a, b, text>>: first and last line and text of each chunk of two lines or more that holds a word."""
+    def cut(e: Column) -> Column:
+        every = F.transform(e, lambda b, k: spanned(lines, F.coalesce(F.get(e, k - 1), F.lit(-1)) + 1, b))
+        return F.filter(every, lambda c: (c["b"] > c["a"]) & c["text"].rlike(WORDED))
 
-        return let(hashes, lambda h: let(ends(h), chunk))
+    return let(chunk_ends(lines, divisor), cut)
 
-    return let(F.split(F.coalesce(text, F.lit("")), "\n"), cut)
+
+def passages_of(lines: Column, divisor: int) -> Column:
+    """Each pair of successive lines that hold a word, with the blank lines between, and the chunks that are no such pair."""
+    held = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORDED))
+    pairs = let(held, lambda w: F.filter(F.transform(w, lambda i, k: F.when(k > 0, spanned(lines, F.get(w, k - 1), i))), lambda u: u.isNotNull()))
+    return F.concat(F.filter(chunks_of(lines, divisor), lambda c: ~c["text"].rlike(PAIR)), pairs)
+
+
+def removed(docs: DataFrame, id_col: str, text_col: str, units_of, divisor: int) -> DataFrame:
+    """(__key, __gone): the units, as array<struct<a, b>> of lines, that an earlier place has, by row_key(id, text)."""
+    own = docs.select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").contains("\n"))
+    units = let(lines_of(F.col("text")), lambda x: units_of(x, divisor))
+    digests = F.transform(units, lambda u, k: named(k=k, digest=F.xxhash64(u["text"])))
+    places = stored(own.select("key", F.explode(digests).alias("u")).select("key", "u.k", "u.digest"), "line-places")
+    counted = stored(places.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "line-repeats")
+    flagged = with_repeats(places, counted, "digest").groupBy("key").agg(F.array_sort(F.collect_set("k")).alias("ks"))
+    # A text is cut once; the units wanted are chosen inside the row.
+    wanted = let(marks(F.col("ks")), lambda m: F.filter(F.transform(units, lambda u, k: named(k=k, a=u["a"], b=u["b"], text=u["text"])), lambda u: marked(m, u["k"])))
+    held = own.join(flagged, "key").select("key", "id", F.explode(wanted).alias("u")).select("key", "id", "u.*")
+    texts = stored(held, "line-candidates")
+    first = texts.groupBy("text").agg(F.min(F.struct("id", "key", "k")).alias("first")).select("first.key", "first.k")
+    gone = texts.join(first, ["key", "k"], "left_anti")
+    return gone.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("__gone")).withColumnRenamed("key", "__key")
+
+
+def cleaned(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with its text without the lines of gone, and __n (lines removed) and __gone."""
+    joined = docs.withColumn("__key", row_key(id_col, text_col)).join(gone, "__key", "left").drop("__key")
+    text = F.col(f"`{text_col}`")
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform("__gone", lambda g: F.sequence(g["a"], g["b"])))))
+    left = let(places, lambda p: let(marks(p), lambda m: named(n=F.size(p).cast("long"), text=F.array_join(F.filter(lines_of(text), lambda x, i: ~marked(m, i)), "\n"))))
+    out = joined.withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
+    columns = [F.coalesce("__left.text", text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*columns, F.coalesce("__left.n", F.lit(0).cast("long")).alias("__n"), text.alias("__text"), "__gone")
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR) -> DataFrame:
@@ -55,79 +102,12 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Empty text: one chunk of one line, kept. Rows with the same id and text are one occurrence: all of them stay or lose
     the same chunks. Null ids rank first. Empty docs: no rows.
     """
-    whole = docs.drop("n_chunks", "removed_chunks", "removed_lines", *[c for c in docs.columns if c.startswith("__")])
-    own = docs.select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    chunks = own.where(F.col("text").contains("\n")).select("key", "id", F.explode(F.filter(chunks_of(F.col("text"), divisor), lambda c: (c["n"] >= 2) & c["text"].rlike(r"\S"))).alias("c"))
-    places = stored(chunks.select("key", "id", "c.k", F.xxhash64("c.text").alias("digest")), "line-places")
-    # Written first: a join below an aggregation of its own side could not split the rows of a frequent digest.
-    twice = stored(places.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest"), "line-repeats")
-    flagged = places.join(twice, "digest").groupBy("key").agg(F.collect_set(F.struct("k", "digest")).alias("flags"))
-    seen = own.where(F.col("text").contains("\n")).join(flagged, "key").select("key", "id", F.explode("flags").alias("f"), chunks_of(F.col("text"), divisor).alias("c"))
-    texts = stored(seen.select("key", "id", "f.k", "f.digest", F.get("c", F.col("f.k"))["text"].alias("chunk")), "line-candidates")
-    first = texts.groupBy("digest", "chunk").agg(F.min(F.struct("id", "key", "k")).alias("first"))
-    repeats = texts.join(first, ["digest", "chunk"]).where((F.col("first.key") != F.col("key")) | (F.col("first.k") != F.col("k")))
-    removed = repeats.groupBy("key").agg(F.collect_set("k").alias("__gone")).withColumnRenamed("key", "__key")
-    joined = whole.withColumn("__key", row_key(id_col, text_col)).join(removed, "__key", "left")
-    text = F.col(f"`{text_col}`")
-    cut = F.when(text.contains("\n"), chunks_of(text, divisor))
-    parts = let(cut, lambda c: named(
-        n=F.when(text.isNull(), 0).when(text.contains("\n"), F.size(c)).otherwise(1).cast("long"),
-        gone=F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
-        lines=F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.aggregate(F.filter(c, lambda x: F.array_contains("__gone", x["k"])), F.lit(0), lambda a, x: a + x["n"])).cast("long"),
-        text=F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(F.filter(c, lambda x: ~F.array_contains("__gone", x["k"])), lambda x: x["text"]), "\n")),
-    ))
-    out = joined.withColumn("__parts", parts)
-    columns = [F.col("__parts.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in whole.columns]
-    return out.select(*columns, F.col("__parts.n").alias("n_chunks"), F.col("__parts.gone").alias("removed_chunks"), F.col("__parts.lines").alias("removed_lines"))
-
-
-def passages_of(text: str, divisor: int) -> Iterator[tuple[int, int, bytes]]:
-    """(first line, last line, 128-bit digest) of each unit: pairs of successive lines that hold a word, and chunks."""
-    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    digests = [hashlib.md5(x).digest() for x in lines]
-    worded = [i for i, x in enumerate(lines) if x.strip()]
-    units = set(zip(worded, worded[1:]))
-    h = [int.from_bytes(d[:4], "big") >> 4 for d in digests]
-    start, before, held = 0, False, 0
-    for i in range(len(lines)):
-        marked = i > 0 and (31 * h[i - 1] + h[i]) % divisor == 0
-        held += bool(lines[i].strip())
-        if i == len(lines) - 1 or marked and not before:
-            if i > start and held:
-                units.add((start, i))
-            start, held = i + 1, 0
-        before = marked
-    for a, b in sorted(units):
-        yield a, b, hashlib.md5(b"".join(digests[a : b + 1])).digest()
-
-
-def _passages(divisor: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                found = [(i, *u) for i, text in enumerate(part["text"].to_pylist()) for u in passages_of(text, divisor)]
-                rows, first, last, digests = zip(*found, strict=True) if found else ((), (), (), ())
-                at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part["key"].take(at), part["id"].take(at), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(digests, pa.binary())], ["key", "id", "a", "b", "digest"])
-
-    return run
-
-
-def _without(text_col: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                texts, counts = [], []
-                for text, ranges in zip(part[text_col].to_pylist(), part["__gone"].to_pylist(), strict=True):
-                    gone = {i for x in ranges or () for i in range(x["a"], x["b"] + 1)}
-                    texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text)
-                    counts.append(len(gone))
-                names = part.schema.names[:-1]
-                yield pa.RecordBatch.from_arrays([*[pa.array(texts, pa.string()) if c == text_col else part[c] for c in names], pa.array(counts, pa.int64())], [*names, "removed_lines"])
-
-    return run
+    names = ("n_chunks", "removed_chunks", "removed_lines")
+    whole = docs.drop(*names, *[c for c in docs.columns if c.startswith("__")])
+    out = cleaned(whole, removed(docs, id_col, text_col, chunks_of, divisor), id_col, text_col)
+    text = F.col("__text")
+    n = F.when(text.isNull(), 0).when(text.contains("\n"), F.size(let(lines_of(text), lambda x: chunk_ends(x, divisor)))).otherwise(1)
+    return out.select(*[F.col(f"`{c}`") for c in whole.columns], n.cast("long").alias("n_chunks"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("removed_chunks"), F.col("__n").alias("removed_lines"))
 
 
 def passage_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR) -> DataFrame:
@@ -135,19 +115,9 @@ def passage_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     Nulls, ids and repeated rows as with line_dedup; columns named removed_lines or starting with "__" are replaced.
     """
-    ship(docs.sparkSession)
     whole = docs.drop("removed_lines", *[c for c in docs.columns if c.startswith("__")])
-    own = docs.select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").contains("\n"))
-    kind = own.schema["id"].dataType.simpleString()
-    places = stored(own.mapInArrow(_passages(divisor), f"key bigint, id {kind}, a int, b int, digest binary"), "passage-places")
-    first = places.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "key", "a")).alias("first")).where("copies > 1")
-    # Written first, as in line_dedup.
-    first = stored(first.select("digest", "first"), "passage-repeats")
-    gone = places.join(first, "digest").where((F.col("first.key") != F.col("key")) | (F.col("first.a") != F.col("a")))
-    removed = gone.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("__gone")).withColumnRenamed("key", "__key")
-    joined = whole.withColumn("__key", row_key(id_col, text_col)).join(removed, "__key", "left").drop("__key")
-    schema = T.StructType([*whole.schema.fields, T.StructField("removed_lines", T.LongType())])
-    return joined.mapInArrow(_without(text_col), schema)
+    out = cleaned(whole, removed(docs, id_col, text_col, passages_of, divisor), id_col, text_col)
+    return out.select(*[F.col(f"`{c}`") for c in whole.columns], F.col("__n").alias("removed_lines"))
 
 
 def oracle(docs: str = "documents", divisor: int = DIVISOR) -> str:
