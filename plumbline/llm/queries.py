@@ -64,4 +64,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_license_scan, op2_mixing, op3_line_dedup, op4_simhash, op5_quality_rules, op6_decontamination, op7_chat_format, op8_substring_dedup, op9_pii, op10_language_id, pipeline)
 }
-ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op3_line_dedup": line_dedup.oracle(), "op8_substring_dedup": substring_dedup.oracle()}
+ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op3_line_dedup": line_dedup.oracle(), "op8_substring_dedup": substring_dedup.passage_oracle()}
