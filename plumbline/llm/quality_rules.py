@@ -1,13 +1,15 @@
 """Quality rules whose cutoffs come with a bound on false rejection.
 
-A rule rejects a document whose feature exceeds a cutoff. The labelled documents are the holdout. For each stratum
-(language) and rule the cutoffs of a fixed grid are tested from the most lenient to the strictest: the null hypothesis
-"this cutoff rejects more than `risk / rules` of good documents" is refused if the exact binomial probability of so few
-false rejections is at most `delta / (rules * strata)`. Testing stops at the first hypothesis that stands (a fixed
-sequence needs no further correction inside; Bonferroni covers rules and strata). So with probability 1 - delta, all
-strata together, no more than `risk` of a stratum's good documents are rejected by all rules together. Of the certified
-cutoffs, the one with the best gain (share of bad documents rejected less `cost` times the share of good ones) is used;
-a rule that gains nothing in a stratum is not used there. Strata without enough labels keep all their documents.
+A rule rejects a document whose feature exceeds a cutoff of a fixed grid. The labelled documents of a stratum (language) are
+the holdout; a hash of the id deals them into two halves. One half orders the steps "rule r gets cutoff c": those of positive
+gain (share of bad documents rejected less `cost` times the share of good ones), by the good documents they reject there,
+then by the bad ones. The other half tests the union of the first t steps for t = 1, 2 and so on: the null hypothesis
+"these rules together reject more than `risk` of the good documents" is refused if the exact binomial probability of so
+few false rejections is at most `delta / strata` (Bonferroni over the strata that have labels). The order is fixed before
+this half is looked at and testing stops at the first hypothesis that stands, so no further correction is needed inside: with
+probability 1 - delta no stratum loses more than `risk` of its good documents to all rules together. Each rule takes
+its strictest cutoff among the certified steps. Strata with too few labels for any step keep all their documents: without a
+false rejection, log(delta / strata) / log(1 - risk) good documents are needed in a half (86 for four strata).
 """
 
 from __future__ import annotations
@@ -34,13 +36,16 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 def repeated_words(words: Column) -> Column:
     """Number of words that lie in a window of three words found twice or more in the text.
 
-    Windows are compared by 64-bit hashes. Only a text that holds a window twice pays for the sort by which the places
-    of its repeated windows are found.
+    If the 64-bit hashes of all windows differ, so do the windows. Only other texts pay for the sort by hash that finds the
+    places of the repeated windows, whose words are compared as well.
     """
-    def places(hashes: Column) -> Column:
+    def places(hashes: Column, words: Column) -> Column:
+        window = lambda p: F.array(*[F.get(words, p["i"].cast("int") + d) for d in range(3)])
+
         def repeated(pairs: Column) -> Column:
             last = F.size(pairs) - 1
-            same = lambda i: ((i > 0) & (F.get(pairs, i - 1)["t"] == F.get(pairs, i)["t"])) | ((i < last) & (F.get(pairs, i + 1)["t"] == F.get(pairs, i)["t"]))
+            like = lambda i, j: (F.get(pairs, i)["t"] == F.get(pairs, j)["t"]) & (window(F.get(pairs, i)) == window(F.get(pairs, j)))
+            same = lambda i: ((i > 0) & like(i - 1, i)) | ((i < last) & like(i + 1, i))
             at = F.filter(F.transform(F.sequence(F.lit(0), last), lambda i: F.when(same(i), F.get(pairs, i)["i"])), lambda p: p.isNotNull())
             start = named(n=F.lit(0).cast("long"), p=F.lit(-3).cast("long"))
             return F.aggregate(F.sort_array(at), start, lambda a, p: named(n=a["n"] + F.least(F.lit(3).cast("long"), p - a["p"]), p=p))["n"]
@@ -49,7 +54,7 @@ def repeated_words(words: Column) -> Column:
 
     def counted(ws: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
-        return F.when(F.size(ws) < 4, F.lit(0).cast("long")).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(places(h))))
+        return F.when(F.size(ws) < 4, F.lit(0).cast("long")).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(places(h, ws))))
 
     return let(words, counted)
 
@@ -96,20 +101,39 @@ def cutoffs(counted: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", go
     """
     known = agreed(labels, doc_id=id_col, good=good_col).where(F.col("good").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("good").cast("long").alias("good"))
     values = F.array(*[F.struct(F.lit(r).alias("rule"), x.alias("x"), F.array(*map(F.lit, grid[r])).alias("cuts")) for r, x in ratios().items() if r in grid])
-    held = counted.join(known, "doc_id").select("stratum", "good", F.explode(values).alias("v")).select("stratum", "good", "v.rule", (F.size("v.cuts") - F.size(F.filter("v.cuts", lambda c: F.col("v.x") > c))).alias("first"), F.size("v.cuts").alias("m"))
-    by_first = held.groupBy("stratum", "rule", "first", "m").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
-    totals = by_first.groupBy("stratum", "rule").agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
-    rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(j).alias("j"), F.lit(c).alias("cut")) for r, cuts in grid.items() for j, c in enumerate(cuts)])
-    tests = totals.select("stratum", "rule", "n_good", "n_bad", F.explode(rules).alias("g")).where("rule = g.rule").select("stratum", "rule", "n_good", "n_bad", "g.j", "g.cut")
-    first = by_first.select(F.col("stratum").alias("s"), F.col("rule").alias("r"), F.col("first").alias("f"), "good", "bad")
-    path = W.partitionBy("stratum", "rule").orderBy("j")
-    tests = tests.join(first, F.col("stratum").eqNullSafe(F.col("s")) & (F.col("rule") == F.col("r")) & (F.col("j") == F.col("f")), "left").withColumns({"k": F.sum(F.coalesce("good", F.lit(0))).over(path), "hit": F.sum(F.coalesce("bad", F.lit(0))).over(path)})
-    n_strata = counted.select("stratum").distinct().count()
-    p = binomial_cdf(F.col("k"), F.col("n_good"), risk / len(grid))
-    tests = tests.withColumn("holds", (F.col("n_good") > 0) & (p <= delta / (len(grid) * max(n_strata, 1))))
-    tests = tests.withColumn("certified", F.min("holds").over(path)).withColumn("gain", F.col("hit") / F.greatest("n_bad", F.lit(1)) - cost * F.col("k") / F.greatest("n_good", F.lit(1)))
-    best = tests.where("certified and gain > 0").groupBy("stratum", "rule").agg(F.max(F.struct(F.round("gain", 9).alias("gain"), (-F.col("j")).alias("lenient"), "cut"))["cut"].alias("cut"))
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(f"{r}_max") for r in grid])
+    key = F.coalesce(F.concat(F.lit("="), F.col("stratum").cast("string")), F.lit(""))
+    held = counted.join(known, "doc_id").select("doc_id", "stratum", key.alias("s"), "good", in_first_half(F.col("doc_id")).alias("ordering"), F.explode(values).alias("v"))
+    # The first cutoff that the feature exceeds; the number of cutoffs if there is none.
+    held = stored(held.select("doc_id", "stratum", "s", "good", "ordering", "v.rule", (F.size("v.cuts") - F.size(F.filter("v.cuts", lambda c: F.col("v.x") > c))).alias("first")), "quality-held")
+    steps = stored(ordered(held.where("ordering"), grid, cost), "quality-steps")
+    tested = held.where("not ordering")
+    reach = tested.join(steps, ["s", "rule"]).where("j >= first").groupBy("s", "doc_id").agg(F.min("step").alias("t"), F.max("good").alias("good"))
+    lost = reach.groupBy("s", F.col("t").alias("step")).agg(F.sum("good").alias("lost"))
+    n_good = tested.groupBy("s").agg(F.count_distinct(F.when(F.col("good") == 1, F.col("doc_id"))).alias("n_good")).where("n_good > 0")
+    n_strata = n_good.count()
+    path = W.partitionBy("s").orderBy("step")
+    tests = steps.join(n_good, "s").join(lost, ["s", "step"], "left").withColumn("k", F.sum(F.coalesce("lost", F.lit(0))).over(path))
+    tests = tests.withColumn("certified", F.min(binomial_cdf(F.col("k"), F.col("n_good"), risk) <= delta / max(n_strata, 1)).over(path))
+    return tests.where("certified").groupBy("s").agg(F.max("stratum").alias("stratum"), *[F.max(F.when(F.col("rule") == r, F.struct("j", "cut")))["cut"].alias(f"{r}_max") for r in grid]).drop("s")
+
+
+def in_first_half(id_col: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("ordering"), id_col.cast("string")), F.lit(2)) == 0
+
+
+def ordered(held: DataFrame, grid: dict[str, list[float]], cost: float) -> DataFrame:
+    """(s, stratum, rule, j, cut, step): the steps of each stratum in order, from the half of the labels that fixes it."""
+    by_first = held.groupBy("s", "rule", "first").agg(F.max("stratum").alias("stratum"), F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    totals = by_first.groupBy("s", "rule").agg(F.max("stratum").alias("stratum"), F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
+    cuts = F.array(*[F.struct(F.lit(r).alias("of"), F.lit(j).alias("j"), F.lit(c).alias("cut")) for r, cuts in grid.items() for j, c in enumerate(cuts)])
+    every = totals.select("s", "stratum", "rule", "n_good", "n_bad", F.explode(cuts).alias("g")).where("rule = g.of").select("s", "stratum", "rule", "n_good", "n_bad", "g.j", "g.cut")
+    at = by_first.select("s", "rule", F.col("first").alias("j"), "good", "bad")
+    run = W.partitionBy("s", "rule").orderBy("j")
+    every = every.join(at, ["s", "rule", "j"], "left").withColumns({"k": F.sum(F.coalesce("good", F.lit(0))).over(run), "hit": F.sum(F.coalesce("bad", F.lit(0))).over(run)})
+    gain = F.col("hit") / F.greatest("n_bad", F.lit(1)) - cost * F.col("k") / F.greatest("n_good", F.lit(1))
+    # At most as many rows a stratum as the grid has cutoffs.
+    order = W.partitionBy("s").orderBy("k", F.desc("hit"), "rule", "j")
+    return every.where(F.round(gain, 9) > 0).withColumn("step", F.row_number().over(order)).select("s", "stratum", "rule", "j", "cut", "step")
 
 
 def decided(counted: DataFrame, chosen: DataFrame, grid: dict[str, list[float]] = GRID) -> DataFrame:
