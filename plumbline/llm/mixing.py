@@ -2,16 +2,18 @@
 
 Sources in code point order (null last) weigh 5, 2, 1 and so on, and share `share` of all sizes; a target stops at
 `most` times its source's size, and the excess is reshared by weight until none is above: target = min(cap, weight * t),
-where t is found from the sources sorted by cap / weight.
-
-Rates: a document of size z gets the rate r = most / (1 + (most - 1) exp(-b z)), which is 1 at b = 0, between 0 and
-`most`, and the minimum of the (Fermi-Dirac) entropy relative to rate 1 under the token constraint sum z r = target of its
-source. The multiplier b of each source solves the convex dual by Newton steps, kept inside a bracket: every step sums
-gradient and curvature over (source, size) counts with a distributed aggregation.
-
-Rounding: documents of a source and size share a rate, so of n such documents floor(n r) or more copies are taken.
-Going from the largest size to the smallest, the copies of each size are rounded so that all words so far come nearest
-to their sum of rates; the last error is about half a small document. A second pass evens out what a source of few documents leaves. Which of the n documents get the additional copy
+where t is found by sharing, capping and sharing again, each round an aggregation.
+
+Rates: a document of size z gets the exponentially tilted rate r = min(most, exp(b z)), the minimum of the relative entropy
+to rate 1 under the token constraint sum z r = target of its source and the bound r <= most. The multiplier b of each
+source solves the convex dual by Newton steps, kept inside a bracket: every step sums gradient and curvature over
+(source, size) counts with a distributed aggregation.
+
+Rounding: documents of a source and size share a rate, so of n such documents floor(n r) copies or one more are taken:
+one more where the running sum of the fractions, from the largest size to the smallest, passes a half. So at most half a
+copy is missing or too much over any sizes, and half of the largest document in words. What is then left of the target is
+evened out from the largest size to the smallest, by as many whole copies as fit, down to less than the
+smallest document (or to where no copies are left to give or take). Which of the n documents get the additional copy
 is settled by the order of a hash of the id, in buckets of a bounded size, so that a size or source that holds a large
 part of all rows is never sorted by one task, and reruns agree.
 """
@@ -34,23 +36,35 @@ def size_of(text: Column) -> Column:
     return F.when(F.length(trimmed) == 0, F.lit(0)).otherwise(F.regexp_count(trimmed, F.lit(GAP)) + 1).cast("long")
 
 
+def ranked(per: DataFrame) -> DataFrame:
+    """per with `place`: the place of its source in code point order, null last, from 0. Sources are sorted in ranges."""
+    dealt = stored(per.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    before = W.partitionBy(F.lit(1)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    # One row for each partition.
+    offsets = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "offset")
+    inside = F.row_number().over(W.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return dealt.join(F.broadcast(offsets), "part").withColumn("place", F.col("offset") + inside - 1).drop("part", "offset")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(source, source_size, target) from (source, size, n). One row for each source passes one task."""
+    """(source, source_size, target) from (source, size, n)."""
     per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    wide = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
-    wide = wide.withColumn("cap", most * F.col("source_size")).withColumn("total", share * F.sum("source_size").over(W.partitionBy(F.lit(1))))
-    # Sources are capped in the order of cap / weight; t is what the others get per weight if those before are capped.
-    by = W.partitionBy(F.lit(1)).orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, rest = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(0, W.unboundedFollowing)
-    wide = wide.withColumn("t", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
-    level = F.max(F.when(F.col("t") <= F.col("cap") / F.col("weight"), F.col("t"))).over(W.partitionBy(F.lit(1)))
-    return wide.select("source", "source_size", F.coalesce(F.least(F.col("cap").cast("double"), F.col("weight") * level), F.col("cap").cast("double")).alias("target"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    wide = stored(ranked(per).select("source", "source_size", weight.alias("weight"), (most * F.col("source_size")).cast("double").alias("cap")), "mix-weights")
+    total = share * (wide.agg(F.sum("source_size")).first()[0] or 0)
+    level, capped = None, -1
+    while True:
+        free = F.lit(True) if level is None else F.col("cap") > F.col("weight") * level
+        full, weights_left, n = wide.agg(F.sum(F.when(~free, F.col("cap"))), F.sum(F.when(free, F.col("weight"))), F.count_if(~free)).first()
+        if n == capped or not weights_left:
+            break
+        level, capped = (total - (full or 0.0)) / weights_left, n
+    goal = F.col("cap") if level is None or not weights_left else F.least("cap", F.col("weight") * level)
+    return wide.select("source", "source_size", goal.alias("target"))
 
 
 def rate(b: Column, z: Column, most: float = MOST) -> Column:
-    return most / (1 + (most - 1) * F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), -b * z))))
+    return F.least(F.lit(float(most)), F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), b * z))))
 
 
 def multipliers(sizes: DataFrame, goals: DataFrame, most: float = MOST, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -61,7 +75,7 @@ def multipliers(sizes: DataFrame, goals: DataFrame, most: float = MOST, steps: i
     for _ in range(steps):
         r = rate(F.col("b"), F.col("size") / F.col("scale"), most)
         terms = sizes.withColumnRenamed("source", "from").join(state.where("inner"), same).groupBy("source", "target", "source_size", "scale", "b", "lo", "hi", "inner").agg(
-            F.sum(F.col("n") * F.col("size") * r).alias("words"), F.sum(F.col("n") * F.col("size") * F.col("size") / F.col("scale") * r * (1 - r / most)).alias("slope"))
+            F.sum(F.col("n") * F.col("size") * r).alias("words"), F.sum(F.when(r < most, F.col("n") * F.col("size") * F.col("size") / F.col("scale") * r).otherwise(0.0)).alias("slope"))
         gap = F.col("words") - F.col("target")
         lo, hi = F.when(gap <= 0, F.col("b")).otherwise(F.col("lo")), F.when(gap >= 0, F.col("b")).otherwise(F.col("hi"))
         # Outside the bracket a Newton step gives way: to the middle, or to twice the distance where one end is open.
@@ -77,35 +91,23 @@ def multipliers(sizes: DataFrame, goals: DataFrame, most: float = MOST, steps: i
     return state.select("source", "scale", F.when(F.col("inner"), F.col("b")).alias("b"))
 
 
-def copies(classes: Column, most: float) -> Column:
-    """classes: array<struct<size, n, r>>, largest size first. Copies of each class, array<bigint>.
-
-    First the copies of a size are the whole number, between floor(r) and ceil(r) for each document, that brings the words
-    so far nearest to their sum of rates. What is then missing or too much (a source of a few large documents) is evened
-    out in a second pass, which may take any number of copies from 0 to `most` for each document.
-    """
-    start = named(want=F.lit(0.0), got=F.lit(0).cast("long"), out=F.array().cast("array<bigint>"))
-
-    def step(a: Column, x: Column) -> Column:
-        def put(v: Column) -> Column:
-            k = F.when(x["size"] == 0, F.round(x["n"] * x["r"])).otherwise(F.round((v - a["got"]) / x["size"]))
-            k = F.greatest(x["n"] * F.floor(x["r"]), F.least(x["n"] * F.ceil(x["r"]), k)).cast("long")
-            return let(k, lambda c: named(want=v, got=a["got"] + c * x["size"], out=F.concat(a["out"], F.array(c))))
-
-        return let(a["want"] + x["n"] * x["size"] * x["r"], put)
-
-    def even(done: Column) -> Column:
-        first = named(left=done["want"] - done["got"], out=F.array().cast("array<bigint>"))
-
-        def move(a: Column, z: Column) -> Column:
-            x, k = z["x"], z["k"]
-            more = F.when(x["size"] == 0, F.lit(0)).otherwise(F.round(a["left"] / x["size"]))
-            more = F.greatest(-k, F.least(most * x["n"] - k, more)).cast("long")
-            return let(more, lambda m: named(left=a["left"] - m * x["size"], out=F.concat(a["out"], F.array(k + m))))
+def copies(rated: DataFrame, most: float) -> DataFrame:
+    """rated (source_key, size, n, r, target and others) with k, the copies that the n documents get together."""
+    run = W.partitionBy("source_key").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, 0)
+    x = rated.withColumn("whole", F.floor(F.col("n") * F.col("r"))).withColumn("passed", F.floor(F.sum(F.col("n") * F.col("r") - F.col("whole")).over(run) + 0.5))
+    more = F.col("passed") - F.coalesce(F.lag("passed").over(W.partitionBy("source_key").orderBy(F.desc("size"))), F.lit(0))
+    first = stored(x.withColumn("k", F.least(F.col("whole") + more, most * F.col("n")).cast("long")).drop("whole", "passed"), "mix-rounded")
+    # One row a source: its distinct sizes, which text lengths bound and documents don't. Only the few changes are kept.
+    per = first.where("size > 0").groupBy("source_key").agg((F.first("target") - F.sum(F.col("k") * F.col("size"))).alias("left"), F.sort_array(F.collect_list(F.struct("size", "n", "k")), asc=False).alias("c"))
 
-        return F.aggregate(F.zip_with(classes, done["out"], lambda x, k: named(x=x, k=k)), first, move)["out"]
+    def even(a: Column, x: Column) -> Column:
+        fit = F.floor(F.abs(a["left"]) / x["size"])
+        move = F.when(a["left"] > 0, F.least(fit, most * x["n"] - x["k"])).otherwise(-F.least(fit, x["k"])).cast("long")
+        return let(move, lambda m: F.when(m == 0, a).otherwise(named(left=a["left"] - m * x["size"], out=F.concat(a["out"], F.array(named(size=x["size"], m=m))))))
 
-    return let(F.aggregate(classes, start, step), even)
+    start = named(left=F.col("left").cast("double"), out=F.array().cast("array<struct<size:bigint,m:bigint>>"))
+    moved = per.select("source_key", F.explode(F.aggregate("c", start, even)["out"]).alias("x")).select("source_key", "x.size", "x.m")
+    return first.join(moved, ["source_key", "size"], "left").withColumn("k", F.col("k") + F.coalesce("m", F.lit(0))).drop("m")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -122,9 +124,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     solved = goals.join(multipliers(sizes, goals, most).withColumnRenamed("source", "from"), same, "left").drop("from")
     r = F.when(F.col("source_size") == 0, F.lit(1.0)).when(F.col("b").isNotNull(), rate(F.col("b"), F.col("size") / F.col("scale"), most)).when(F.col("target") > 0, F.lit(float(most))).otherwise(F.lit(0.0))
     rated = sizes.withColumnRenamed("source", "from").join(solved, same).select("source", "source_size", "target", "size", "n", r.alias("r"))
-    # One row a source: an array of its distinct sizes, which text lengths bound and documents don't.
-    classes = rated.groupBy("source", "source_size", "target").agg(F.sort_array(F.collect_list(F.struct("size", "n", "r")), asc=False).alias("c"))
-    counted = classes.withColumn("k", copies(F.col("c"), most)).select("source", "source_size", "target", F.explode(F.arrays_zip("c", "k")).alias("x")).select("source", "source_size", "target", "x.c.size", "x.c.n", F.col("x.c.r").alias("rate"), F.col("x.k").alias("k"))
+    keyed = rated.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    counted = copies(keyed, most).select("source", "source_size", "target", "size", "n", F.col("r").alias("rate"), "k")
     counted = stored(counted.withColumn("base", F.floor(F.col("k") / F.col("n")).cast("long")).withColumn("extra", F.col("k") - F.col("n") * F.col("base")), "mix-copies")
     # Buckets of a (source, size): the extra copies are dealt to them in proportion, by rounding running sums down.
     plan = counted.withColumnRenamed("source", "from").withColumnRenamed("size", "of").withColumn("buckets", F.ceil(F.col("n") / BUCKET).cast("long"))
