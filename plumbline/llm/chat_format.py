@@ -7,7 +7,8 @@ programming over the automaton's states (the role of the last turn put out); of
 keep, merge, relabel, relabel and merge, insert is taken. The repaired turns are rendered by a template.
 
 Turns are range-partitioned by (conversation, turn), so a conversation that holds a large part of all rows is spread over
-many tasks. For a conversation in several parts, each part gives the matrix of its costs from each state to each state;
+many tasks. One of more than `part_turns` turns is worked off in parts of that many turns, counted from its first turn; so
+neither rows nor texts depend on the partitions. Each part gives the matrix of its costs from each state to each state;
 a search over these small matrices fixes the states in which every part begins and ends, and then all parts are repaired
 on their own.
 """
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from plumbline.llm.common import stored
 from plumbline.operators.common import ship
@@ -30,6 +32,7 @@ ALIASES = {"system": SYSTEM, "developer": SYSTEM, "user": USER, "human": USER, "
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 MERGE, RELABEL, INSERT = 2, 3, 4
 FAR = 1 << 50
+PART_TURNS = 10_000
 TEMPLATE = ("<|{role}|>\n", "\n<|end|>\n", "\n\n")
 
 
@@ -134,7 +137,7 @@ def _matrix(table: pa.Table) -> pa.Table:
 
 
 def _route(table: pa.Table) -> pa.Table:
-    """States in which the parts of one conversation begin and end; there are at most as many parts as partitions."""
+    """States in which the parts of one conversation begin and end."""
     rows = table.sort_by("part")
     matrices = rows["costs"].to_pylist()
     now, back = [0, FAR, FAR, FAR], []
@@ -162,28 +165,37 @@ def _render(template: tuple[str, str, str]):
     return run
 
 
-def chat_format(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: tuple[str, str, str] = TEMPLATE, partitions: int | None = None) -> DataFrame:
+def numbered(turns: DataFrame, order: list, partitions: int | None, part_turns: int) -> DataFrame:
+    """turns (with key) and pos, which sorts them, and part: the place in the conversation, divided by part_turns."""
+    ranged = turns.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
+    cut = stored(ranged.withColumn("slice", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), "turns")
+    slices = cut.groupBy("key", "slice").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"))
+    before = W.partitionBy("key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    # One row for each slice of a conversation; only long conversations have more than one part.
+    slices = slices.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("total", F.sum("n").over(W.partitionBy("key")))
+    long = stored(slices.where(F.col("total") > part_turns).select("key", "slice", "lo", "offset"), "turn-slices")
+    part = F.floor((F.col("offset") + F.col("pos") - F.col("lo")) / part_turns).cast("int")
+    return cut.join(long, ["key", "slice"], "left").withColumn("part", F.coalesce(part, F.lit(0))).drop("slice", "lo", "offset")
+
+
+def chat_format(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: tuple[str, str, str] = TEMPLATE, partitions: int | None = None, part_turns: int = PART_TURNS) -> DataFrame:
     """<id_col>, part, n_turns, n_out, cost, merged, relabelled, inserted, rendered.
 
-    One row for each conversation (part 0), or for each part of one that spans partitions; its parts, in order, make up
-    the whole text. `partitions` fixes their number, else Spark
-    does. Turns are taken by (turn, role, text), nulls last; repeated rows are turns of their own and so are
-    ties. Null or unknown roles are relabelled, null texts are empty. Null ids make one conversation. Empty input: no
-    rows.
+    One row for each conversation (part 0); one of more than `part_turns` turns has a row for every so many turns, whose
+    texts, in order, make up the whole, so no task holds more. `partitions` fixes the number of ranges by which turns are
+    sorted, else Spark does; the result is the same. Turns are taken by (turn, role, text), nulls last; repeated rows are
+    turns of their own and so are ties. Null or unknown roles (tools as well) are relabelled, null texts are empty. Null
+    ids make one conversation. Empty input: no rows.
     """
     ship(turns.sparkSession)
     own = turns.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").alias("role"), F.col(f"`{text_col}`").alias("text"))
     key = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit(""))
     order = [F.col("key"), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last()]
-    ranged = own.withColumn("key", key).repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
-    cut = stored(ranged.withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()).drop("turn"), "turns")
+    cut = numbered(own.withColumn("key", key), order, partitions, part_turns).drop("turn")
     kind = own.schema["id"].dataType.simpleString()
-    parts = cut.select("key", "part").distinct()
-    several = parts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    several = stored(cut.where("part > 0").select("key").distinct(), "long-conversations")
     matrices = cut.select("key", "part", "pos", "role").join(several, "key").groupBy("key", "part").applyInArrow(_matrix, "key string, part int, costs array<bigint>")
     routes = stored(matrices.groupBy("key").applyInArrow(_route, "key string, part int, entry int, exit int, closing boolean"), "routes")
     routed = cut.join(routes, ["key", "part"], "left").withColumn("entry", F.coalesce("entry", F.lit(START))).withColumn("closing", F.coalesce("closing", F.lit(True)))
     out = routed.groupBy("key", "part").applyInArrow(_render(template), f"id {kind}, part int, n_turns bigint, n_out bigint, cost bigint, merged bigint, relabelled bigint, inserted bigint, rendered string")
-    numbers = routes.groupBy("key").agg(F.min("part").alias("first")).withColumn("id", F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).cast(kind)).select("id", "first")
-    out = out.withColumnRenamed("id", "own").join(numbers, F.col("own").eqNullSafe(F.col("id")), "left").withColumn("part", F.when(F.col("first").isNull(), F.lit(0)).otherwise(F.col("part") - F.col("first")))
-    return out.select(F.col("own").alias(id_col), "part", "n_turns", "n_out", "cost", "merged", "relabelled", "inserted", "rendered")
+    return out.withColumnRenamed("id", id_col)
