@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def words(names: list[str]) -> str:
     return f"{WORD}(?:{'|'.join(names)}){WORD}"
 
 
+def bound(value: Column, make) -> Column:
+    """make(value), with value computed once."""
+    return F.transform(F.array(value), make)[0]
+
+
 def lines(text: Column | str) -> Column:
     """Number of lines; a trailing empty one counts."""
     return F.size(F.split(col(text), "\n", -1)).cast("long")
@@ -99,13 +106,40 @@ def nesting_depth(text: Column | str) -> Column:
     return F.aggregate(F.split(marks, ""), start, step)["most"].cast("long")
 
 
+def operator_counts(text: Column, operators: list[str]) -> Column:
+    """struct<kinds, total>: how many of the operators the text has, and how often, as literal substrings.
+
+    Operators of marks stand within runs of these marks, so they are sought in the text with all else squeezed out.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("kinds"), F.lit(0).cast("long").alias("total"))
+
+    def count_in(where: Column, names: list[str], so_far: Column) -> Column:
+        def step(a: Column, op: Column) -> Column:
+            n = literal_count(where, op)
+            return bound(n, lambda k: F.struct((a["kinds"] + (k > 0).cast("long")).alias("kinds"), (a["total"] + k).alias("total")))
+
+        return F.aggregate(F.array(*map(F.lit, names)), so_far, step)
+
+    spelled = [op for op in operators if op.isalpha()]
+    marks = "".join(sorted({c for op in operators if not op.isalpha() for c in op}))
+    runs = F.regexp_replace(text, f"[^{re.escape(marks)}]+", " ")
+    counted = bound(runs, lambda r: count_in(r, [op for op in operators if not op.isalpha()], start))
+    return count_in(text, spelled, counted) if spelled else counted
+
+
 def halstead_parts(text: Column | str, language: Column | str) -> Column:
     """struct<n_1, total_1, n_2, total_2>: distinct and all operators, distinct and all operands."""
     t = col(text)
-    lists = by_language(col(language), lambda n: F.array(*map(F.lit, fixed.OPERATORS[n])))
-    counts = F.transform(lists, lambda op: literal_count(t, op))
+    counts = by_language(col(language), lambda n: operator_counts(t, fixed.OPERATORS[n]))
     operands = F.regexp_extract_all(t, F.lit(OPERAND), 0)
-    return F.struct(F.size(F.filter(counts, lambda n: n > 0)).cast("long").alias("n_1"), F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n).alias("total_1"), F.size(F.array_distinct(operands)).cast("long").alias("n_2"), F.size(operands).cast("long").alias("total_2"))
+
+    def parts(c: Column, found: Column) -> Column:
+        return F.struct(
+            c["kinds"].alias("n_1"), c["total"].alias("total_1"),
+            F.size(F.array_distinct(found)).cast("long").alias("n_2"), F.size(found).cast("long").alias("total_2"),
+        )
+
+    return bound(counts, lambda c: bound(operands, lambda found: parts(c, found)))
 
 
 def halstead_volume(parts: Column) -> Column:

@@ -673,13 +673,13 @@ def refactor_summary(spark, d):
 # 8. Joins and lookups.
 
 
-@query(f"WITH {SUPPLIERS} SELECT node, CASE WHEN community % 5 = 0 THEN -1 ELSE community END::BIGINT AS community FROM nd")
+@query(f"WITH {SUPPLIERS} SELECT node, community::BIGINT AS community FROM nd")
 def node_cluster(spark, d):
-    m = corpus.supplier_membership(spark, d).where("community % 5 <> 0")
+    m = corpus.supplier_membership(spark, d)
     return graph.community_assignment(corpus.supplier_nodes(spark, d), resolve.node_cluster(corpus.supplier_nodes(spark, d), m)).select("node", F.coalesce("community", F.lit(-1)).cast("long").alias("community"))
 
 
-CF = f"cf AS (SELECT row_number() OVER (ORDER BY path) AS ordinal, dir || '#' || (doc_id % 2) AS cluster, CASE WHEN doc_id % 4 = 1 THEN 'backup/' || regexp_extract(path, '[^/]*$') || '.old' ELSE path END AS file FROM df WHERE doc_id % 4 < 2)"
+CF = f"cf AS (SELECT row_number() OVER (ORDER BY path) AS ordinal, dir || '#' || (doc_id % 2) AS cluster, CASE WHEN doc_id % 4 = 1 THEN 'backup/' || regexp_extract(path, '[^/]*$') || '.old' ELSE path END AS file FROM df)"
 
 
 @query(f"WITH {DIRF}, {CF} SELECT path, coalesce((SELECT arg_min(cluster, ordinal) FROM cf WHERE cf.file = df.path OR contains(cf.file, regexp_extract(df.path, '[^/]*$'))), 'Unclustered') AS cluster FROM df")
@@ -688,7 +688,7 @@ def file_cluster(spark, d):
 
     f = plain_files(spark, d)
     i = F.col("doc_id") % 4
-    cf = f.where(i < 2).select(P, F.row_number().over(W.partitionBy(P).orderBy("path")).alias("ordinal"), F.concat("dir", F.lit("#"), (F.col("doc_id") % 2).cast("string")).alias("cluster"), F.when(i == 1, F.concat(F.lit("backup/"), paths.basename("path"), F.lit(".old"))).otherwise(F.col("path")).alias("file"))
+    cf = f.select(P, F.row_number().over(W.partitionBy(P).orderBy("path")).alias("ordinal"), F.concat("dir", F.lit("#"), (F.col("doc_id") % 2).cast("string")).alias("cluster"), F.when(i == 1, F.concat(F.lit("backup/"), paths.basename("path"), F.lit(".old"))).otherwise(F.col("path")).alias("file"))
     return resolve.file_cluster_by_name(f, cf).drop(P)
 
 
@@ -798,3 +798,9 @@ def analysis_base(spark, d):
     """The whole base analysis of the corpus' first files of each type as one project, as JSON rows."""
     f = corpus.source_files(spark, d).withColumn(P, F.concat(F.lit("p"), F.floor(F.col("doc_id") / 500).cast("string")))
     return plans.to_json(spark, {k: v for k, v in plans.analyze(f.select(P, "path", "content", "size_bytes"), skip_security=True).items() if k in ("clusters", "metadata", "scores", "heuristics")})
+
+
+@query()
+def analysis_advanced(spark, d):
+    """The whole advanced analysis, scan included, of the documents in projects of 500 files, as JSON rows."""
+    return plans.to_json(spark, plans.analyze_advanced(corpus.importing_files(spark, d)))

@@ -102,3 +102,23 @@ def billing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(e == "view", "canceled").when(e == "error", "past_due").when((e == "click") & (F.col("event_id") % 4 == 0), "trialing").otherwise("active")
     price = F.when(F.col("event_id") % 3 == 0, "price_pro").when(F.col("event_id") % 3 == 1, "price_team")
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("customer_id"), kind.alias("event_type"), status.alias("status"), price.alias("price_id"), (F.lit(1_700_000_000) + F.col("event_id") * 60).cast("long").alias("period_end"), "ts", F.col("event_id").alias("seq"))
+
+
+def importing_files(spark: SparkSession, sf_dir: str, per_project: int = 500) -> DataFrame:
+    """source_files in projects of `per_project` documents each; a file begins with its import statements."""
+    i = import_statements(spark, sf_dir).groupBy(F.col("src").alias("path")).agg(F.sort_array(F.collect_list(F.struct("ordinal", "dep"))).alias("own"))
+    lines = F.transform("own", lambda x: F.concat(F.lit("import '"), x["dep"], F.lit("';\n")))
+    f = source_files(spark, sf_dir).join(i, "path", "left").withColumn("content", F.concat(F.coalesce(F.array_join(lines, ""), F.lit("")), F.coalesce("content", F.lit(""))))
+    project = F.concat(F.lit("p"), F.floor(F.col("doc_id") / per_project).cast("string"))
+    return f.select(project.alias("project"), "path", "content", F.octet_length("content").cast("long").alias("size_bytes"))
+
+
+def generated_files(spark: SparkSession, n: int = 50) -> DataFrame:
+    """One project of n small JavaScript files; file i imports the i % 5 files after it and branches 5 + i % 10 times."""
+    rows = []
+    for i in range(n):
+        imports = [f"import {{ f{(i + j) % n} }} from './file{(i + j) % n}.js';" for j in range(1, i % 5 + 1)]
+        branches = [f"  if (Math.random() > 0.5) {{ console.log({j}); }}" for j in range(5 + i % 10)]
+        text = "\n".join([*imports, "", f"export function f{i}() {{", *branches, "}", ""])
+        rows.append(("generated", f"file{i}.js", text, len(text)))
+    return spark.createDataFrame(rows, "project string, path string, content string, size_bytes long")
