@@ -1,7 +1,8 @@
 """Graph measures over an edge table (project, src, dst) and a node table (project, node).
 
-Everything is joins and aggregations, keyed by project first, so that many projects are worked off side by side. Edges
-are distinct; self-loops count in degrees, densities and modularity but not in paths and triangles.
+Everything is joins and aggregations, keyed by project first, so that many projects are worked off side by side; ranks of
+small projects are one kernel each instead. Edges are distinct; self-loops count in degrees, densities and modularity
+but not in paths and triangles.
 """
 
 from __future__ import annotations
@@ -9,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import kernels
 from plumbline.operators.common import cut
 
 P = "project"
+#: Nodes and edges up to which a project's ranks are one task's work.
+SMALL = 200_000
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -133,14 +137,41 @@ def betweenness(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFra
     return base.join(b, [P, "node"], "left").select(P, "node", scaled.alias("betweenness"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, dangling: str = "uniform", iterations: int | None = None, tolerance: float = 1e-6, most: int = 100, every: int = 5) -> DataFrame:
+def by_size(nodes: DataFrame, edges: DataFrame, column: str, kernel, joins, small: int) -> DataFrame:
+    """(project, node, <column>) by kernel for projects of up to `small` nodes and edges, by joins for larger ones.
+
+    A kernel holds one project in one task, whose size is checked here; rounds of joins cost a job each, which only
+    a large project repays.
+    """
+    sizes = nodes.select(P).unionAll(edges.select(P)).groupBy(P).agg(F.count(F.lit(1)).alias("size"))
+    sizes = cut(sizes.select(P, (F.col("size") <= small).alias("fits")))
+    fit, rest = sizes.where("fits").select(P), sizes.where("not fits").select(P)
+    few = kernels.per_project(nodes.join(fit, P, "left_semi"), edges.join(fit, P, "left_semi"), column, kernel)
+    if rest.isEmpty():
+        return few
+    return few.unionByName(joins(nodes.join(rest, P, "left_semi"), edges.join(rest, P, "left_semi")))
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, dangling: str = "uniform", iterations: int | None = None, tolerance: float = 1e-6, most: int = 100, every: int = 5, small: int = SMALL) -> DataFrame:
     """(project, node, pagerank). dangling: uniform spreads the rank of nodes without edges, drop loses it.
 
-    With `iterations` so many rounds are made; else rounds end when the L1 change of every project is below tolerance.
-    Edges keep their partitioning by source over all rounds; ranks are cut off their lineage every few rounds.
+    With `iterations` so many rounds are made; else rounds end when the L1 change of a project (of all those worked off
+    by joins) is below tolerance.
     """
     if dangling not in ("uniform", "drop"):
         raise ValueError(f"dangling: {dangling}")
+
+    def kernel(n, src, dst):
+        return kernels.pagerank(n, src, dst, damping, dangling, iterations, tolerance, most)
+
+    def joins(own, links):
+        return pagerank_by_joins(own, links, damping, dangling, iterations, tolerance, most, every)
+
+    return by_size(nodes, edges, "pagerank", kernel, joins, small)
+
+
+def pagerank_by_joins(nodes: DataFrame, edges: DataFrame, damping: float, dangling: str, iterations: int | None, tolerance: float, most: int, every: int) -> DataFrame:
+    """Edges keep their partitioning by source over all rounds; ranks are cut off their lineage every few rounds."""
     n = nodes.groupBy(P).agg(F.count(F.lit(1)).cast("double").alias("n"))
     out = edges.groupBy(P, F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out"))
     base = cut(nodes.join(n, P).join(out, [P, "node"], "left").select(P, "node", "n", F.coalesce("out", F.lit(0)).alias("out")))
@@ -167,11 +198,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, dangling
     return ranks.select(P, "node", F.col("pr").alias("pagerank"))
 
 
-def eigenvector(nodes: DataFrame, edges: DataFrame, iterations: int = 50) -> DataFrame:
+def eigenvector(nodes: DataFrame, edges: DataFrame, iterations: int = 50, small: int = SMALL) -> DataFrame:
     """(project, node, eigenvector): power iteration on A + I (right vector), length 1, not negative.
 
     The shift makes the iteration converge on graphs whose spectrum is all zero or comes in pairs.
     """
+    def kernel(n, src, dst):
+        return kernels.eigenvector(n, src, dst, iterations)
+
+    return by_size(nodes, edges, "eigenvector", kernel, lambda own, links: eigenvector_by_joins(own, links, iterations), small)
+
+
+def eigenvector_by_joins(nodes: DataFrame, edges: DataFrame, iterations: int) -> DataFrame:
     links = cut(edges.select(P, F.col("src").alias("node"), F.col("dst").alias("to")))
     base = cut(nodes)
     x = base.withColumn("x", F.lit(1.0))

@@ -18,6 +18,49 @@ SCHEMA = "project string, algo string, community long, node string"
 SWEEPS = 50
 
 
+def pagerank(n: int, src: np.ndarray, dst: np.ndarray, damping: float, dangling: str, iterations: int | None, tolerance: float, most: int) -> np.ndarray:
+    """Ranks of n nodes; dst is -1 for a target that is no node, whose share is lost."""
+    out = np.bincount(src, minlength=n)
+    inside = dst >= 0
+    a, b, loose = src[inside], dst[inside], out == 0
+    ranks = np.full(n, 1 / max(n, 1))
+    for _ in range(iterations or most):
+        got = np.bincount(b, ranks[a] / out[a], n)
+        spread = ranks[loose].sum() / n if dangling == "uniform" else 0.0
+        new = (1 - damping) / n + damping * (got + spread)
+        moved, ranks = np.abs(new - ranks).sum(), new
+        if not iterations and moved < tolerance:
+            break
+    return ranks
+
+
+def eigenvector(n: int, src: np.ndarray, dst: np.ndarray, iterations: int) -> np.ndarray:
+    a, b = src[dst >= 0], dst[dst >= 0]
+    x = np.ones(n)
+    for _ in range(iterations):
+        y = x + np.bincount(a, x[b], n)
+        x = y / np.sqrt((y * y).sum())
+    return x
+
+
+def per_project(nodes: DataFrame, edges: DataFrame, column: str, make) -> DataFrame:
+    """(project, node, <column>): make(n, src, dst) of each project, with nodes numbered from 0.
+
+    Edges from what is no node are left out; the target of an edge to what is no node is -1.
+    """
+    ship(nodes.sparkSession)
+    kinds = ", ".join(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in (P, "node"))
+
+    def run(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        at = {x: i for i, x in enumerate(own["node"])}
+        src, dst = (np.array([at.get(x, -1) for x in links[c]], np.int64) for c in ("src", "dst"))
+        values = make(len(own), src[src >= 0], dst[src >= 0]) if len(own) else np.zeros(0)
+        return own.assign(**{column: values})
+
+    both = nodes.select(P, "node").groupBy(P).cogroup(edges.select(P, "src", "dst").groupBy(P))
+    return both.applyInPandas(run, f"{kinds}, {column} double")
+
+
 class Graph:
     def __init__(self, nodes: list[str], pairs: list[tuple[int, int]]):
         self.nodes, self.n = nodes, len(nodes)

@@ -128,3 +128,32 @@ def test_frame_and_kernel_agree(spark):
         far = np.minimum(far, far[:, [k]] + far[[k], :])
     want = {(g.nodes[i], g.nodes[j]): far[i, j] for i in range(g.n) for j in range(g.n) if i != j and np.isfinite(far[i, j])}
     assert {(r["src"], r["dst"]): r["dist"] for r in p.collect()} == want
+
+
+def test_small_and_large_projects_agree(spark):
+    rng = random.Random(5)
+    rows = [(p, f"n{a}", f"n{b}") for p, n in (("a", 12), ("b", 30), ("c", 3)) for a in range(n) for b in rng.sample(range(n + 1), rng.randint(0, 3))]
+    rows += [("a", "stranger", "n1"), ("b", "n1", "n2"), ("b", "n1", "n2"), ("nowhere", "x", "y")]
+    e = spark.createDataFrame(rows, "project string, src string, dst string")
+    n = spark.createDataFrame([(p, f"n{i}") for p, k in (("a", 12), ("b", 30), ("c", 3), ("lonely", 1)) for i in range(k)], "project string, node string")
+    for make in (
+        lambda s: graph.pagerank(n, e, dangling="uniform", iterations=8, small=s),
+        lambda s: graph.pagerank(n, e, dangling="drop", iterations=8, small=s),
+        lambda s: graph.eigenvector(n, e, iterations=6, small=s),
+    ):
+        ways = [{(r[0], r[1]): r[2] for r in make(s).collect()} for s in (1000, 40, 0)]
+        assert len(ways[0]) == 46
+        for other in ways[1:]:
+            assert ways[0].keys() == other.keys()
+            assert all(abs(v - other[k]) < 1e-12 for k, v in ways[0].items())
+
+
+def test_names_without_a_cluster(spark):
+    from plumbline.operators import resolve
+
+    f = spark.createDataFrame([("p", "src/a.js"), ("p", "src/b.js"), ("p", "src/c.js")], "project string, path string")
+    c = spark.createDataFrame([("p", 2, "two", "src/a.js"), ("p", 1, "one", "old/b.js.old")], "project string, ordinal int, cluster string, file string")
+    assert {(r["path"], r["cluster"]) for r in resolve.file_cluster_by_name(f, c).collect()} == {("src/a.js", "two"), ("src/b.js", "one"), ("src/c.js", "Unclustered")}
+    m = spark.createDataFrame([("p", 3, "src/a.js"), ("p", 1, "src/a.js")], "project string, community int, node string")
+    got = resolve.node_cluster(f.withColumnRenamed("path", "node"), m)
+    assert {(r["node"], r["community"]) for r in got.collect()} == {("src/a.js", 1), ("src/b.js", None), ("src/c.js", None)}
