@@ -57,7 +57,8 @@ def per_project(nodes: DataFrame, edges: DataFrame, column: str, make) -> DataFr
         values = make(len(own), src[src >= 0], dst[src >= 0]) if len(own) else np.zeros(0)
         return own.assign(**{column: values})
 
-    both = nodes.select(P, "node").groupBy(P).cogroup(edges.select(P, "src", "dst").groupBy(P))
+    # Both sides may come from one table: a name of its own keeps the edges' key apart.
+    both = nodes.select(P, "node").groupBy(P).cogroup(edges.select(F.col(P).alias("of"), "src", "dst").groupBy("of"))
     return both.applyInPandas(run, f"{kinds}, {column} double")
 
 

@@ -148,6 +148,12 @@ def test_small_and_large_projects_agree(spark):
             assert all(abs(v - other[k]) < 1e-12 for k, v in ways[0].items())
 
 
+def test_ranks_of_nodes_taken_from_edges(basic):
+    _, e = basic
+    assert graph.pagerank(graph.nodes_of(e), e, iterations=3).count() == 5
+    assert graph.eigenvector(graph.nodes_of(e), e, iterations=3).count() == 5
+
+
 def test_names_without_a_cluster(spark):
     from plumbline.operators import resolve
 
