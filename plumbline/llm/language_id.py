@@ -1,12 +1,13 @@
 """Language identification, word first with backoff to character n-grams.
 
 Learned from labelled rows: for each language, frequencies of words and of character n-grams (1 to 4, with marks at a
-word's ends). A known word scores by the log of its smoothed frequency in each language, normalised over languages. An
+word's ends). A known word scores by the log of its smoothed frequency in each language. An
 unknown word backs off: the longest n of which any n-gram is known scores by the mean of its known n-grams. A text's
 score of a language is the sum over its words; its probability is the softmax of these sums.
 
-Learning takes about `sample` documents of each language (chosen by a hash of the id) and keeps at most `words` words and
-`grams` n-grams of each length a language, so the model's size is bounded and does not grow with the corpus.
+Learning takes about `sample` documents of each language (chosen by a hash of the id) and keeps all their words and
+n-grams: what the driver gathers and sends grows with languages and with the texts of the sample, not with the corpus. A
+word takes a cell only in the languages that have it.
 """
 
 from __future__ import annotations
@@ -19,13 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from plumbline.llm.common import agreed
 from plumbline.operators.common import ship
 
 WORD = re.compile(r"[^\W\d_]+")
-SAMPLE, WORDS, GRAMS, LONGEST = 1500, 20_000, 6_000, 4
+SAMPLE, LONGEST, SMOOTH = 1500, 4, 0.1
 UNKNOWN = "und"
 #: Unknown words whose scores a task remembers; then it starts anew.
 REMEMBERED = 100_000
@@ -54,21 +54,40 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(gram, pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "n", "gram", "k"])
 
 
+class Table:
+    """Counts of words, or of n-grams of one length, as sparse rows.
+
+    Where a language lacks an entry its smoothed log frequency is `base`; other cells hold what they exceed that by.
+    """
+
+    def __init__(self, counts: dict[str, list[tuple[int, int]]], langs: int):
+        self.at = {gram: i for i, gram in enumerate(counts)}
+        cells = [cell for row in counts.values() for cell in row]
+        self.starts = np.cumsum([0, *map(len, counts.values())])
+        self.column = np.array([c for c, _ in cells], np.int64)
+        k = np.array([k for _, k in cells], np.float64)
+        self.base = -np.log(np.bincount(self.column, k, langs) + SMOOTH * max(len(counts), 1))
+        self.base += np.log(SMOOTH)
+        self.above = np.log1p(k / SMOOTH)
+
+    def total(self, rows: list[int]) -> np.ndarray:
+        """Sum of the log frequencies of some rows, by language."""
+        own = np.array(rows, np.int64)
+        first, sizes = self.starts[own], self.starts[own + 1] - self.starts[own]
+        cells = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return len(rows) * self.base + np.bincount(self.column[cells], self.above[cells], len(self.base))
+
+
 class Model:
-    """Scores of words and n-grams: rows of a matrix with a column for each language."""
+    """Scores of words (table 0) and n-grams. What all languages' scores share cancels out and is left out."""
 
     def __init__(self, langs: list[str], rows: list[tuple[str, int, str, int]]):
         self.langs = langs
         column = {x: i for i, x in enumerate(langs)}
-        self.at: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        places = [(self.at[n].setdefault(gram, len(self.at[n])), n, column[lang], k) for lang, n, gram, k in rows]
-        self.scores = [np.zeros((len(x), len(langs))) for x in self.at]
-        for i, n, c, k in places:
-            self.scores[n][i, c] += k
-        for n, counts in enumerate(self.scores):
-            smooth = np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * max(len(counts), 1)))
-            top = smooth.max(axis=1, keepdims=True) if len(smooth) else 0
-            self.scores[n] = smooth - top - np.log(np.exp(smooth - top).sum(axis=1, keepdims=True))
+        counts: list[dict[str, list[tuple[int, int]]]] = [{} for _ in range(LONGEST + 1)]
+        for lang, n, gram, k in rows:
+            counts[n].setdefault(gram, []).append((column[lang], k))
+        self.tables = [Table(x, len(langs)) for x in counts]
         self.met: dict[str, np.ndarray] = {}
 
     def unknown(self, word: str) -> np.ndarray:
@@ -76,9 +95,10 @@ class Model:
         if found is None:
             found = np.zeros(len(self.langs))
             for n in range(LONGEST, 0, -1):
-                rows = [i for g in grams_of(word, n) if (i := self.at[n].get(g)) is not None]
+                at = self.tables[n].at
+                rows = [i for g in grams_of(word, n) if (i := at.get(g)) is not None]
                 if rows:
-                    found = self.scores[n][rows].mean(axis=0)
+                    found = self.tables[n].total(rows) / len(rows)
                     break
             if len(self.met) >= REMEMBERED:
                 self.met.clear()
@@ -89,10 +109,9 @@ class Model:
         words = WORD.findall((text or "").lower())
         if not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        known = self.at[0]
-        ids = [known.get(w, -1) for w in words]
-        at = np.array(ids, np.int64)
-        total = self.scores[0][at[at >= 0]].sum(axis=0) if known else np.zeros(len(self.langs))
+        at = self.tables[0].at
+        ids = [at.get(w, -1) for w in words]
+        total = self.tables[0].total([i for i in ids if i >= 0])
         for w, i in zip(words, ids, strict=True):
             if i < 0:
                 total = total + self.unknown(w)
@@ -101,7 +120,7 @@ class Model:
         return self.langs[best], float(chances[best] / chances.sum())
 
 
-def learned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> Model:
+def learned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Model of the rows that are not held out and have an id, a text and a language."""
     ship(docs.sparkSession)
     own = agreed(docs, id=id_col, text=text_col, lang=lang_col).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
@@ -113,9 +132,7 @@ def learned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     u = F.pmod(F.xxhash64(F.lit("language"), F.col("id").cast("string")), F.lit(1 << 30)) / (1 << 30)
     taken = own.where(u < F.element_at(chance, F.col("lang"))).select("lang", "text")
     counted = taken.mapInArrow(_counts, "lang string, n int, gram string, k bigint").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
-    ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("k"), "gram")))
-    kept = ranked.where((F.col("rank") <= F.when(F.col("n") == 0, words).otherwise(grams)) & ((F.col("k") > 1) | (F.col("n") < 3))).select("lang", "n", "gram", "k")
-    return Model(sorted(n_of), [tuple(r) for r in kept.toPandas().itertuples(index=False)])
+    return Model(sorted(n_of), sorted(counted.toPandas().itertuples(index=False, name=None)))
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

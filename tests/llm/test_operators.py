@@ -612,19 +612,49 @@ def test_language_id(spark, docs):
     assert {r["doc_id"]: r["held_out"] for r in rows} == held
     right = [r["lang_pred"] == lang[r["doc_id"]] for r in rows if r["held_out"]]
     assert sum(right) >= 0.95 * len(right) and all(0 <= r["score"] <= 1 for r in rows)
-    for text in ("the of and zzzz", "12 34 !", ""):
-        words = language_id.WORD.findall(text.lower())
+    # Counts and scores again, dense and from the rows: fewer of a language than the sample, so all are learned from.
+    counts = [collections.Counter() for _ in range(5)]
+    for r in docs.collect():
+        if not held[r["doc_id"]] and r["lang"] is not None:
+            for w in language_id.WORD.findall((r["text"] or "").lower()):
+                counts[0][w, r["lang"]] += 1
+                for n in range(1, 5):
+                    counts[n].update((g, r["lang"]) for g in language_id.grams_of(w, n))
+    entries = [{g for g, _ in c} for c in counts]
+    sums = [collections.Counter() for _ in counts]
+    for c, s in zip(counts, sums, strict=True):
+        for (_, x), k in c.items():
+            s[x] += k
+
+    def logs(n, gram):
+        return np.array([np.log((counts[n][gram, x] + 0.1) / (sums[n][x] + 0.1 * len(entries[n]))) for x in model.langs])
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    some = [(None, t, *model.predict(t)) for t in ("the of and zzzz", "12 34 !", "", "\u4e2d\u6587")]
+    for _, text, lang_pred, score in some + [(r["doc_id"], texts[r["doc_id"]], r["lang_pred"], r["score"]) for r in rows]:
+        words = language_id.WORD.findall((text or "").lower())
         total = np.zeros(len(model.langs))
-        for w in words:
-            if w in model.at[0]:
-                total += model.scores[0][model.at[0][w]]
+        for w, times in collections.Counter(words).items():
+            if w in entries[0]:
+                total += times * logs(0, w)
                 continue
             for n in range(4, 0, -1):
-                rows_n = [model.scores[n][model.at[n][g]] for g in language_id.grams_of(w, n) if g in model.at[n]]
-                if rows_n:
-                    total += np.mean(rows_n, axis=0)
+                known = [logs(n, g) for g in language_id.grams_of(w, n) if g in entries[n]]
+                if known:
+                    total += times * np.mean(known, axis=0)
                     break
-        assert model.predict(text)[0] == (model.langs[int(total.argmax())] if words else "und")
+        chances = np.exp(total - total.max())
+        expected = chances.max() / chances.sum() if words else 0
+        assert abs(score - expected) < 1e-6
+        assert lang_pred == "und" if not words else (lang_pred == model.langs[int(total.argmax())] or expected < 0.51)
+
+
+def test_language_model_is_sparse():
+    word = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    rows = [(f"l{i:03}", 0, word(i), 3) for i in range(300)] + [(f"l{i:03}", 0, "all", 2) for i in range(300)]
+    model = language_id.Model([f"l{i:03}" for i in range(300)], rows)
+    assert len(model.tables[0].above) == 600 and len(model.tables[0].at) == 301
+    assert model.predict(f"{word(7)} all") == ("l007", pytest.approx(31 / (31 + 299)))
 
 
 def test_language_ignores_held_out_and_other_columns(spark, docs):
