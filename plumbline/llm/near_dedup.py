@@ -1,9 +1,13 @@
 """Near-dedup by verified shingle similarity.
 
 A text is the set of the XXH64 hashes of its `shingle`-word shingles; texts with equal sets are one node. Nodes are linked
-if the Jaccard similarity of their sets is `similarity` or more, and a component is what links reach. Candidates come from
-MinHash: BANDS keys of ROWS minima each, of which two sets with similarity s share one with probability
-1 - (1 - s^ROWS)^BANDS (at 0.8 all but 2 in 100,000 pairs, at 0.9 all). Every link is verified on the whole sets.
+if the Jaccard similarity of their sets is `similarity` or more, and a component is what links reach.
+
+Candidates come from two sides. One is op4's method: every set has a SimHash fingerprint, and fingerprints that differ in
+at most four bits are linked by their Golay keys (`simhash.linked`); sets whose fingerprints are in one component share a
+key. At 0.8 most fingerprints differ in more bits, so MinHash adds BANDS keys of ROWS minima each, of which two sets with
+similarity s share one with probability 1 - (1 - s^ROWS)^BANDS (at 0.8 all but 2 in 100,000 pairs, at 0.9 all). Every link
+is verified on the whole sets, whichever key it is found by.
 
 Keys with one node are dropped first, and then nodes that no other can be similar to: a shingle that only one node has is
 in no intersection, so of two sets with n and m shingles, u and v of them found nowhere else, at most min(n - u, m - v)
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import dropped, row_key, stored, with_repeats
 from plumbline.llm.components import components
-from plumbline.llm.simhash import renamed
+from plumbline.llm.simhash import linked, majority, renamed
 from plumbline.operators.common import ship
 
 SHINGLE, SIMILARITY, ROWS, BANDS, SEED = 5, 0.8, 6, 36, 42
@@ -89,7 +93,7 @@ def _nodes(shingle: int):
                 part = batch.slice(lo, 500)
                 sets = [shingles_of(t, shingle) for t in part["text"].to_pylist()]
                 signatures = [signature(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([part["row"], part["id"], pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([x[k] for x in signatures], pa.list_(pa.int64())) for k in (0, 1)]], ["row", "id", "node", "n", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part["row"], part["id"], pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)), *[pa.array([x[k] for x in signatures], pa.list_(pa.int64())) for k in (0, 1)]], ["row", "id", "node", "n", "fp", "bands", "sketch"])
 
     return run
 
@@ -137,6 +141,14 @@ def merged(pairs: DataFrame, sets: DataFrame, similarity: float, member: DataFra
     return stored(renamed(member, roots), "near-members"), renamed(label, roots)
 
 
+def with_simhash_key(nodes: DataFrame, fps: DataFrame) -> DataFrame:
+    """nodes with one more band for each set that isn't empty: the component of its fingerprint by Golay keys."""
+    others = linked(fps).where("fp <> component")
+    key = F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp"))
+    bands = F.when(F.col("n") > 0, F.concat("bands", F.array(key))).otherwise(F.col("bands"))
+    return nodes.join(others, "fp", "left").withColumn("bands", bands).drop("fp", "component")
+
+
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of docs: <id_col> and component_id (least id that links reach).
 
@@ -148,8 +160,9 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     ship(docs.sparkSession)
     own = docs.select(row_key(id_col, text_col).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    rows = stored(own.mapInArrow(_nodes(shingle), f"row bigint, id {kind}, node bigint, n bigint, bands array<bigint>, sketch array<bigint>"), "near-rows")
-    nodes = stored(rows.groupBy("node").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.max("n").alias("n"), F.max("bands").alias("bands"), F.max("sketch").alias("sketch")), "near-nodes")
+    rows = stored(own.mapInArrow(_nodes(shingle), f"row bigint, id {kind}, node bigint, n bigint, fp bigint, bands array<bigint>, sketch array<bigint>"), "near-rows")
+    nodes = rows.groupBy("node").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("bands").alias("bands"), F.max("sketch").alias("sketch"))
+    nodes = stored(with_simhash_key(nodes, stored(rows.where("n > 0").select("fp").distinct(), "near-fingerprints")), "near-nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     shared = stored(with_repeats(stored(keyed, "near-keyed"), stored(counted, "near-keys"), "key").select("key", "node"), "near-shared")

@@ -48,6 +48,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     k = min(shingle, len(words))
     hash64 = xxhash.xxh64_intdigest
     hashes = np.array([hash64(line[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned 64 bits, each set if it is set in over half of the hashes; 0 for none."""
     counts = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import chat_format, components, decontamination, golay, language_id, licenses, line_dedup, mixing, pii, quality_rules, simhash, substring_dedup
+from plumbline.llm import chat_format, components, decontamination, golay, language_id, licenses, line_dedup, mixing, near_dedup, pii, quality_rules, simhash, substring_dedup
 from plumbline.llm import queries as llm
 from tests.compare import SF, assert_same
 
@@ -229,6 +229,22 @@ def test_pipeline_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, d, SF).collect()) == want
 
 
+def test_pipeline_near_duplicates_by_fingerprints(spark):
+    """Two texts alike by 0.86 that share no MinHash key, but whose SimHash fingerprints differ in four bits, are one."""
+    rng = random.Random(5)
+    one = [f"w{rng.randrange(10**6)}" for _ in range(480)]
+    two, far = list(one), list(one)
+    for at, word in ((27, "e2973"), (255, "e705177"), (13, "e217711"), (54, "e647433"), (71, "e715411"), (34, "e858603"), (44, "e486887")):
+        two[at] = word
+    for at in range(0, 480, 20):
+        far[at] = f"x{at}"
+    sets = [near_dedup.shingles_of(" ".join(w)) for w in (one, two)]
+    assert not set(near_dedup.signature(sets[0])[0]) & set(near_dedup.signature(sets[1])[0])
+    assert len(np.intersect1d(*sets)) >= 0.86 * len(np.union1d(*sets))
+    d = spark.createDataFrame([(i, " ".join(w), "en", "s", len(w)) for i, w in enumerate((one, two, far, [], ["w"]))], DOCS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, d, SF).collect()) == [0, 2, 3, 4]
+
+
 def test_linked_on_chains(spark):
     """Fingerprints in long chains and dense balls, where stars alone don't join what links do."""
     rng = random.Random(5)
