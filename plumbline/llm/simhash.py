@@ -124,7 +124,8 @@ def linked(fps: DataFrame, bits: int = BITS) -> DataFrame:
         keyed = lambda value, late=late, label=label: label.select("fp", F.col(value).alias("value")).mapInArrow(_keys(late), "key bigint, value bigint")
         # Nearly all keys have one member, or members of one component: those of the others are few rows.
         mixed = keyed("component").groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high").select("key")
-        members = keyed("fp").withColumnRenamed("value", "fp").join(mixed, "key").join(label, "fp")
+        # Spark sizes the keys like their fingerprints, of which each has some fifty: unhinted, it would broadcast them all.
+        members = keyed("fp").withColumnRenamed("value", "fp").join(mixed.hint("merge"), "key").join(label.hint("merge"), "fp")
         member = stored(members.select("key", "fp", "component"), "members")
         for edges in (star_edges, cross_edges):
             found = stored(edges(member, bits), "component-edges")
@@ -146,16 +147,16 @@ def renamed(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def star_edges(member: DataFrame, bits: int) -> DataFrame:
     """(a, b): components of members of a key and of its least or greatest member that are near them."""
     ends = member.groupBy("key").agg(F.min(F.struct("fp", "component")).alias("low"), F.max(F.struct("fp", "component")).alias("high"))
-    each = member.join(ends, "key").select("fp", "component", F.explode(F.array("low", "high")).alias("end")).select("fp", "component", F.col("end.fp").alias("other"), F.col("end.component").alias("with"))
+    each = member.join(ends.hint("merge"), "key").select("fp", "component", F.explode(F.array("low", "high")).alias("end")).select("fp", "component", F.col("end.fp").alias("other"), F.col("end.component").alias("with"))
     return each.where("component <> with").where(near(bits)).select(F.col("component").alias("a"), F.col("with").alias("b")).distinct()
 
 
 def cross_edges(member: DataFrame, bits: int) -> DataFrame:
     """(a, b): near members of a key in unlike components, one of them outside the key's largest component."""
     main = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("several")).where("several > 1").select("key", "main")
-    rest = member.join(main, "key")
+    rest = member.join(main.hint("merge"), "key")
     minor = rest.where("component <> main").select("key", F.col("fp").alias("other"), F.col("component").alias("with"))
-    return member.join(minor, "key").where("component <> with").where(near(bits)).select(F.col("component").alias("a"), F.col("with").alias("b")).distinct()
+    return member.join(minor.hint("merge"), "key").where("component <> with").where(near(bits)).select(F.col("component").alias("a"), F.col("with").alias("b")).distinct()
 
 
 def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
