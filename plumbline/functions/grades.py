@@ -34,7 +34,9 @@ def clamp(x: Column) -> Column:
 
 
 def complexity_grade(cyclo, cog, mi, nesting) -> Column:
-    return steps(0.25 * col(cyclo) + 0.30 * col(cog) + 0.25 * (100 - col(mi)) + 0.40 * col(nesting), [(10, "A"), (20, "B"), (35, "C"), (50, "D")], "F", inclusive=False)
+    """By 0.25 cyclomatic, 0.30 cognitive, 0.25 (100 - mi) and 0.40 nesting; hundredths are exact where counts are whole."""
+    score = (25 * col(cyclo) + 30 * col(cog)) / 100 + 0.25 * (100 - col(mi)) + 40 * col(nesting) / 100
+    return steps(score, [(10, "A"), (20, "B"), (35, "C"), (50, "D")], "F", inclusive=False)
 
 
 def risk_level(cyclo, cog, cbo, mi) -> Column:

@@ -155,14 +155,10 @@ def maintainability(volume: Column | str, cyclo: Column | str, loc: Column | str
 
 
 def weight(cyclo: Column, cog: Column, volume: Column, mi: Column, cbo: Column) -> Column:
-    w = fixed.WEIGHTS
-    return w["cyclomatic"] * cyclo + w["cognitive"] * cog + w["halstead"] * volume / 100 + w["maintainability"] * (100 - mi) + w["coupling"] * cbo
-
-
-def distance(a: str, b: str) -> Column:
-    """Between the metrics of two aliased rows."""
-    parts = [((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) / s) for c, s in (("cyclomatic", 50), ("cognitive", 50), ("halstead", 1000), ("mi", 100), ("nesting", 10))]
-    return F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
+    """Counts are weighed in whole hundredths, which are exact."""
+    w, hundredths = fixed.WEIGHTS, {k: round(100 * v) for k, v in fixed.WEIGHTS.items()}
+    counts = (hundredths["cyclomatic"] * cyclo + hundredths["cognitive"] * cog) / 100
+    return counts + w["halstead"] * volume / 100 + w["maintainability"] * (100 - mi) + hundredths["coupling"] * cbo / 100
 
 
 def with_metrics(files, *, path: str = "path", content: str = "content"):

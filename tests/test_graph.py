@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,44 @@ def test_search_follows_an_edge_once():
     found = [len(x[0]) for _, levels in packed.search(n, starts, targets, np.arange(0, n, 3, dtype=np.int32), None) for x in levels]
     assert sum(found) == sum(n - s for s in range(0, n, 3))
     assert time.time() - begun < 20
+
+
+def test_grades_at_their_limits(spark):
+    """Scores that are exactly 10, 20, 35 and 50; sums of binary fractions fall short of them."""
+    from plumbline.functions import grades
+
+    score = lambda c, g, m, n: 0.25 * c + 0.30 * g + 0.25 * (100 - m) + 0.40 * n
+    rows = [(c, g, float(m), n, x) for c in range(0, 50, 3) for g in range(0, 70, 3) for m in range(0, 101, 7) for n in range(7) for x in (10, 20, 35, 50) if 25 * c + 30 * g + 25 * (100 - m) + 40 * n == 100 * x and score(c, g, m, n) < x]
+    assert len({r[4] for r in rows}) >= 3
+    df = spark.createDataFrame(rows, "cyclomatic long, cognitive long, mi double, nesting long, x int")
+    got = df.select("x", grades.complexity_grade("cyclomatic", "cognitive", "mi", "nesting").alias("g")).distinct().collect()
+    assert {r["x"]: r["g"] for r in got}.items() <= {10: "B", 20: "C", 35: "D", 50: "F"}.items() and len(got) == len({r[4] for r in rows})
+
+
+def test_silhouette_in_blocks():
+    """Against its definition, in several parts; what is held must not grow with pairs."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    n = 3000
+    community, k = np.array([7, 3, 9])[rng.integers(0, 3, n)], rng.integers(1, 4, n)
+    community[0], k[0] = 1, 1
+    x = {c: rng.integers(0, 30, n).astype(float) for c in kernels.METRICS}
+    x["mi"][5] = np.nan
+    row = kernels.vectors(pa.table({"project": ["p"] * n, "community": community, "k": k, **x})).to_pylist()[0]
+    tracemalloc.start()
+    parts = [kernels.silhouettes(row, i, 3).to_pandas() for i in range(3)]
+    assert tracemalloc.get_traced_memory()[1] < n * n * 8 / 10
+    tracemalloc.stop()
+    got = pd.concat(parts).groupby("community")[["score", "size"]].sum()
+    v = np.column_stack([x[c] / s for c, s in kernels.METRICS.items()])
+    want = {}
+    for i in range(n):
+        d = np.sqrt(((v[i] - v) ** 2).sum(axis=1))
+        same = community == community[i]
+        a, b = np.nansum(d[same] * k[same]) / max(k[same].sum() - 1, 1), np.nanmin(d[~same]) if i != 5 else 0.0
+        want[community[i]] = want.get(community[i], 0.0) + (k[i] * (b - a) / b if b > a and i != 5 else 0.0)
+    assert dict(got["size"]) == {c: k[community == c].sum() for c in want}
+    assert all(abs(got["score"][c] - s) < 1e-9 for c, s in want.items())
