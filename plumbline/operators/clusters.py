@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.functions import fixed
-from plumbline.functions.metrics import distance
 from plumbline.functions.paths import basename, dirname, holds
-from plumbline.operators.common import ship
+from plumbline.operators import kernels, packed
+from plumbline.operators.common import cut, ship
 
 P = "project"
 
@@ -47,18 +47,17 @@ def silhouette(membership: DataFrame, metrics: DataFrame) -> DataFrame:
     """(project, community, silhouette): mean over nodes of (b - a) / b where b > a, else 0.
 
     a: mean distance to the others of the cluster; b: least distance to any node outside. Both need the distances of all
-    pairs within a project, so equal vectors are merged first: pairs are made of distinct (community, vector) only.
+    pairs within a project, so equal vectors are merged first: pairs are made of distinct (community, vector) only, block by
+    block in memory, in parts that are dealt over all tasks. Time stays quadratic in them, what is held or moved is linear.
     """
-    cols = ["cyclomatic", "cognitive", "halstead", "mi", "nesting"]
+    cols = list(kernels.METRICS)
     v = membership.select(P, "node", "community").join(metrics.select(P, "node", *cols), [P, "node"]).groupBy(P, "community", *cols).agg(F.count(F.lit(1)).alias("k"))
-    x, y = v.alias("x"), v.alias("y")
-    d = x.join(y, F.col(f"x.{P}") == F.col(f"y.{P}")).select(*[F.col(f"x.{c}").alias(c) for c in [P, "community", *cols, "k"]], F.col("y.community").alias("other"), F.col("y.k").alias("n"), distance("x", "y").alias("d"))
-    same = F.col("community") == F.col("other")
-    per = d.groupBy(P, "community", *cols, "k").agg(F.sum(F.when(same, F.col("d") * F.col("n"))).alias("inside"), F.sum(F.when(same, F.col("n"))).alias("size"), F.min(F.when(~same, F.col("d"))).alias("b"))
-    a = F.when(F.col("size") > 1, F.col("inside") / F.greatest(F.col("size") - 1, F.lit(1))).otherwise(0.0)
-    b = F.coalesce("b", F.lit(0.0))
-    score = F.when(b > a, (b - a) / b).otherwise(0.0)
-    return per.groupBy(P, "community").agg((F.sum(score * F.col("k")) / F.sum("k")).alias("silhouette"))
+    v = v.select(P, F.col("community").cast("long").alias("community"), *[F.col(c).cast("double").alias(c) for c in cols], "k")
+    ship(v.sparkSession)
+    rows = cut(v.groupBy(P).applyInArrow(kernels.vectors, f"{P} string, n long, community binary, scaled binary, k binary"))
+    per = packed.in_parts(rows, F.col("n") * F.col("n") / kernels.PAIRS, kernels.silhouettes, f"{P} string, community long, score double, size double")
+    out = per.groupBy(P, "community").agg((F.sum("score") / F.sum("size")).alias("silhouette"))
+    return out.withColumn("community", F.col("community").cast(membership.schema["community"].dataType))
 
 
 def best_partition(quality: DataFrame) -> DataFrame:
