@@ -9,8 +9,11 @@ from pyspark.sql import Window as W
 from plumbline.functions import fixed
 from plumbline.functions.lexing import imports
 from plumbline.functions.paths import basename, dirname, extension, stem
+from plumbline.operators.common import cut
 
 P = "project"
+#: Beginnings of words up to which they are broadcast.
+HEADS = 50_000
 
 
 def raw_imports(files: DataFrame, literal: bool = False) -> DataFrame:
@@ -85,16 +88,23 @@ def node_cluster(nodes: DataFrame, membership: DataFrame) -> DataFrame:
     return nodes.join(first, [P, "node"], "left")
 
 
-def pieces(text: str) -> Column:
-    """Distinct substrings of one to three characters: whatever a text contains begins with one of them."""
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(3)))
-    return F.array_distinct(F.flatten(F.transform(at, lambda x: F.array(x, F.substr(x, F.lit(1), F.lit(2)), F.substr(x, F.lit(1), F.lit(1))))))
+def heads_at(text: str) -> Column:
+    """array<struct<at, head>>: up to three characters from each place of a text on, whole and shortened to two and one."""
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.struct(i.alias("at"), F.substr(F.col(text), i, F.lit(3)).alias("x")))
+    return F.flatten(F.transform(at, lambda p: F.array_distinct(F.array(*[F.struct(p["at"].alias("at"), F.substr(p["x"], F.lit(1), F.lit(n)).alias("head")) for n in (3, 2, 1)]))))
 
 
 def containing(texts: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
-    """texts joined with words of the same project that they contain, by an equi-join on a word's first characters."""
-    cut = texts.withColumn("gram", F.explode(pieces(text)))
-    return words.withColumn("gram", F.substring(word, 1, 3)).join(cut, [P, "gram"]).where(F.col(text).contains(F.col(word))).drop("gram")
+    """texts joined with words (distinct) of the same project that they contain; a pair once for each place.
+
+    Where the first three characters of some word stand, the text is cut to the lengths of the words that begin so, and the
+    cuts are joined to the words as a whole: a beginning that many words share costs as many cuts as they have lengths.
+    """
+    heads = cut(words.groupBy(P, F.substring(word, 1, 3).alias("head")).agg(F.collect_set(F.length(word)).alias("lengths")))
+    near = F.broadcast(heads) if heads.count() <= HEADS else heads
+    found = texts.withColumn("h", F.explode(heads_at(text))).select(*texts.columns, "h.at", "h.head").join(near, [P, "head"])
+    cuts = found.select(*texts.columns, F.explode(F.transform("lengths", lambda n: F.substr(F.col(text), F.col("at"), n))).alias(word))
+    return cuts.join(words.hint("merge"), [P, word])
 
 
 def file_cluster_by_name(files: DataFrame, cluster_files: DataFrame) -> DataFrame:
@@ -103,9 +113,9 @@ def file_cluster_by_name(files: DataFrame, cluster_files: DataFrame) -> DataFram
     cluster_files: (project, ordinal, cluster, file). A file that equals the path contains its basename.
     """
     f = files.select(P, "path").distinct().withColumn("name", basename("path"))
-    hit = containing(cluster_files.select(P, "ordinal", "cluster", "file"), "file", f, "name")
-    best = hit.groupBy(P, "path").agg(F.min_by("cluster", "ordinal").alias("cluster"))
-    return f.select(P, "path").join(best, [P, "path"], "left").withColumn("cluster", F.coalesce("cluster", F.lit("Unclustered")))
+    hit = containing(cluster_files.select(P, "ordinal", "cluster", "file"), "file", f.select(P, "name").distinct(), "name")
+    best = hit.groupBy(P, "name").agg(F.min_by("cluster", "ordinal").alias("cluster"))
+    return f.join(best, [P, "name"], "left").select(P, "path", F.coalesce("cluster", F.lit("Unclustered")).alias("cluster"))
 
 
 def links(deps: DataFrame, nodes: DataFrame) -> DataFrame:

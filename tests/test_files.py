@@ -198,3 +198,18 @@ def test_refactor_applies(spark, tmp_path):
     n = refactor.apply_plan(plan["structures"], "p", tmp_path / "in", tmp_path / "out")
     assert n["files"] == 5 and (tmp_path / "out" / "OVERVIEW.md").exists()
     assert archives.zip_tree(tmp_path / "out", tmp_path / "x.zip") >= 5
+
+
+def test_contained_names_with_one_beginning(spark):
+    """Names that all begin alike: no pairs of all texts and names are looked at, and each text finds what it contains."""
+    from plumbline.operators import resolve
+
+    names = [*(f"web_{i}.js" for i in range(3000)), "x", "ab", "é_1.js", "missing.js"]
+    texts = [*(f"src/old/web_{i}.js.old" for i in range(3000)), "ab/x", "web_1.js/web_1.js", "dir/é_1.js"]
+    w = spark.createDataFrame([("p", x) for x in names], "project string, name string")
+    t = spark.createDataFrame([("p", x) for x in texts], "project string, file string")
+    hit = resolve.containing(t, "file", w, "name")
+    got = {(r["file"], r["name"]) for r in hit.select("file", "name").collect()}
+    assert got == {(x, y) for x in texts for y in names if y in x}
+    plan = hit._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" not in plan
