@@ -86,7 +86,7 @@ def removed(docs: DataFrame, id_col: str, text_col: str, units_of, divisor: int)
 
 def cleaned(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with its text without the lines of gone, and __n (lines removed) and __gone."""
-    joined = docs.withColumn("__key", row_key(id_col, text_col)).join(gone, "__key", "left").drop("__key")
+    joined = docs.withColumn("__key", row_key(id_col, text_col)).join(gone.hint("merge"), "__key", "left").drop("__key")
     text = F.col(f"`{text_col}`")
     places = F.array_sort(F.array_distinct(F.flatten(F.transform("__gone", lambda g: F.sequence(g["a"], g["b"])))))
     left = let(places, lambda p: let(marks(p), lambda m: named(n=F.size(p).cast("long"), text=F.array_join(F.filter(lines_of(text), lambda x, i: ~marked(m, i)), "\n"))))

@@ -170,7 +170,7 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     texts = own.join(wanted, "row").select("node", "text").mapInArrow(_sets(shingle), "node bigint, hashes array<bigint>")
     sets = stored(texts.dropDuplicates(["node"]), "near-sets")
     alone = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("of"), F.min("node").alias("node")).where("of = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
-    able = sets.select("node", F.size("hashes").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("common"))
+    able = sets.select("node", F.size("hashes").alias("n")).join(alone.hint("merge"), "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("common"))
     able = stored(able.where(F.col("common") >= similarity * F.col("n")), "near-able")
     member = stored(shared.join(able, "node").select("key", "node", "n", "common", F.col("node").alias("component")), "near-members")
     label = nodes.select("node", "least", F.col("node").alias("component"))
@@ -181,7 +181,7 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rest = with_repeats(member, stored(main, "near-main"), "key").drop("copies")
     rest = stored(rest.join(nodes.select("node", "bands", "sketch"), "node"), "near-rest")
     minor = rest.where("component <> main").select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("common").alias("with_common"), F.col("bands").alias("with_bands"), F.col("sketch").alias("with_sketch"), F.col("component").alias("with"))
-    crossed = rest.join(minor, "key").where("component <> with").where(possible("n", "common", "m", "with_common", similarity))
+    crossed = rest.join(minor.hint("merge"), "key").where("component <> with").where(possible("n", "common", "m", "with_common", similarity))
     # A pair that shares several keys is looked at under the least one.
     crossed = crossed.where(F.array_min(F.array_intersect("bands", "with_bands")) == F.col("key")).where(unlike("sketch", "with_sketch") <= UNLIKE)
     pairs = stored(crossed.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), F.when(F.col("node") < F.col("other"), F.col("component")).otherwise(F.col("with")).alias("ca"), F.when(F.col("node") < F.col("other"), F.col("with")).otherwise(F.col("component")).alias("cb")).distinct(), "near-pairs")
