@@ -307,3 +307,16 @@ def test_greedy_keeps_unchanged_moves():
     begun = time.time()
     kernels.greedy(g)
     assert time.time() - begun < 8
+
+
+def test_ranks_by_numbers_agree_with_names(spark):
+    """Projects over `small` are numbered and held as arrays up to `large`; strangers and repeated edges as by names."""
+    rng = random.Random(6)
+    rows = [(p, f"n{a}", f"n{b}") for p, n in (("a", 12), ("b", 30)) for a in range(n) for b in rng.sample(range(n + 1), rng.randint(0, 3))]
+    rows += [("a", "stranger", "n1"), ("b", "n1", "n2"), ("b", "n1", "n2"), ("nowhere", "x", "y")]
+    e = spark.createDataFrame(rows, "project string, src string, dst string").cache()
+    n = spark.createDataFrame([(p, f"n{i}") for p, k in (("a", 12), ("b", 30), ("lonely", 1)) for i in range(k)], "project string, node string").cache()
+    for make in (lambda **k: graph.pagerank(n, e, iterations=8, **k), lambda **k: graph.pagerank(n, e, dangling="drop", iterations=8, **k), lambda **k: graph.eigenvector(n, e, iterations=6, **k)):
+        names, numbers = ({(r["project"], r["node"]): r[2] for r in make(**k).collect()} for k in ({"small": 1000}, {"small": 30, "large": 1000}))
+        assert names.keys() == numbers.keys() and len(names) == 43
+        assert all(abs(v - numbers[k]) < 1e-12 for k, v in names.items())
