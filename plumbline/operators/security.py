@@ -38,8 +38,8 @@ def line_hits(text: Column, rule: int, pattern: str, severity: str, message: str
     return F.flatten(F.transform(F.filter(lines, lambda x: F.size(x["hits"]) > 0), lambda x: F.transform(x["hits"], lambda h: row(x["line"], h))))
 
 
-def scan(files: DataFrame, strict: bool = False) -> DataFrame:
-    """(project, file, line, rule_id, severity, message, pattern): one row for each match.
+def scan(files: DataFrame, strict: bool = False, severities: tuple[str, ...] = tuple(SEVERITIES)) -> DataFrame:
+    """(project, file, line, rule_id, severity, message, pattern): one row for each match of a rule of these severities.
 
     A rule is a literal of the plan, tried on a whole text first: lines are cut only where it hits. Blocked and oversized
     files give a row each (line 0); strict raises for them instead. Only text files are searched.
@@ -54,9 +54,13 @@ def scan(files: DataFrame, strict: bool = False) -> DataFrame:
     texts = named.where(~blocked & ~oversize & F.col("ext").isin(*["." + e for e in fixed.TEXT_EXTENSIONS]))
     found = []
     for rule, pattern, case, severity, message in rules():
+        if severity not in severities:
+            continue
         p = ("" if case else "(?i)") + pattern.replace(r"\b", WORD)
         hits = line_hits(F.col("content"), rule, p, severity, message)
         found.append(F.when(F.col("content").rlike(p), hits).otherwise(F.array().cast("array<struct<line:int,rule_id:int,severity:string,message:string,pattern:string>>")))
+    if not found:
+        return refused
     issues = texts.select("project", "file", F.explode(F.concat(*found)).alias("x")).select("project", "file", "x.*")
     return issues.unionByName(refused)
 

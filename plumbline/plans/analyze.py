@@ -22,9 +22,9 @@ def expose(results: dict[str, DataFrame], prefix: str = "") -> None:
         df.createOrReplaceTempView(prefix + name)
 
 
-def scan(files: DataFrame, strict: bool = True) -> DataFrame:
+def scan(files: DataFrame, strict: bool = True, severities: tuple[str, ...] = tuple(security.SEVERITIES)) -> DataFrame:
     """Issues of the files that the scan looks at; strict raises for blocked and oversized ones."""
-    return security.scan(discover(files, "security"), strict)
+    return security.scan(discover(files, "security"), strict, severities)
 
 
 def base_files(files: DataFrame) -> DataFrame:
@@ -62,7 +62,8 @@ def analyze_advanced(files: DataFrame, skip_security: bool = False, coupling_in_
     """Twelve metrics a file, centralities, communities, cluster quality, topology and project scores."""
     files = require_valid(discover(files, "advanced"), "advanced")
     if not skip_security:
-        security.enforce(scan(files, strict=True))
+        # Only critical issues stop an analysis, and no others are returned here.
+        security.enforce(scan(files, strict=True, severities=("critical",)))
     measured = cut(metrics.with_metrics(files.select(P, F.col("path").alias("node"), "content"), path="node"))
     resolved = cut(resolve.resolve(resolve.raw_imports(files, literal_imports), files.select(P, "path")))
     edges = cut(resolve.edges(resolved))

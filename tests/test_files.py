@@ -213,3 +213,17 @@ def test_contained_names_with_one_beginning(spark):
     assert got == {(x, y) for x in texts for y in names if y in x}
     plan = hit._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains" not in plan
+
+
+def test_scan_for_some_severities(spark):
+    """The rules of other severities aren't tried: the scan that only stops an analysis asks for critical ones."""
+    from plumbline.functions import fixed
+    from plumbline.operators import security
+
+    texts = ["eval(x)", "el.innerHTML = x", "password = 'abcdefgh12'", "exec('rm -rf /')", "require('child_process')", "a = 1"]
+    f = spark.createDataFrame([("p", f"f{i}.js", t, len(t)) for i, t in enumerate(texts)], "project string, path string, content string, size_bytes long")
+    every, few = security.scan(f), security.scan(f, severities=("critical",))
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in every.where("severity = 'critical'").collect()}
+    assert every.where("severity <> 'critical'").count() > 0
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(message in plan for *_, severity, message in fixed.SECURITY_RULES if severity != "critical")
